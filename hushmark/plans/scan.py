@@ -386,13 +386,13 @@ KINDS = {PLAIN: "entropy", CONTEXT: "context", FORCED: "key", URL_VALUE: "url",
 
 
 def findings(text: str, options: Options, adaptive: tuple[str, str] | None = None) -> str:
-    """ARRAY of what is hidden in a line: place, kind, rule name, placeholder, secret."""
+    """ARRAY of what is hidden in a line, in order: number, kind, rule name, placeholder, secret."""
     plain = _plain_limit(adaptive, options)
     kind = "CASE x.m " + " ".join(f"WHEN {m} THEN '{k}'" for m, k in KINDS.items()) + " END"
     null = "CAST(NULL AS STRING)"
 
     def struct(k: str, rule: str, mark: str) -> str:
-        return f"named_struct('pos', i, 'kind', {k}, 'rule', {rule}, 'mark', {mark}, 'secret', x.c)"
+        return f"named_struct('kind', {k}, 'rule', {rule}, 'mark', {mark}, 'secret', x.c)"
 
     scored = (
         f"CASE WHEN {_scored_hidden('x', options, plain)} THEN "
@@ -408,7 +408,9 @@ def findings(text: str, options: Options, adaptive: tuple[str, str] | None = Non
         found = scored
 
     def body(line: str) -> str:
-        all_found = f"filter(transform({leaves(line, options)}, (x, i) -> {found}), y -> y IS NOT NULL)"
+        hits = f"filter(transform({leaves(line, options)}, (x, i) -> {found}), y -> y IS NOT NULL)"
+        fields = "'kind', y.kind, 'rule', y.rule, 'mark', y.mark, 'secret', y.secret"
+        all_found = f"transform({hits}, (y, i) -> named_struct('pos', i, {fields}))"
         none = f"CAST(array() AS ARRAY<{FINDING}>)"
         return f"CASE WHEN {line} = '' OR {_quiet(line, options)} THEN {none} ELSE {all_found} END"
 
