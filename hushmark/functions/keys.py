@@ -23,31 +23,31 @@ def matches_key_pattern(key: str, options: Options) -> str:
     return f"{key} RLIKE {lit('(?id)(?:' + '|'.join(options.key_patterns) + ')')}"
 
 
-def is_sensitive_key(key: str, options: Options) -> str:
+def is_sensitive_key(key: str, options: Options, lowered: str | None = None) -> str:
     """A listed fragment occurs, unless the key is itself a long random string;
     without a fragment the key patterns decide. ``key`` should be a plain column
-    or lambda field: it is read several times."""
+    or lambda field: it is read several times. ``lowered`` spares lower-casing it."""
     looks_random = exceeds(key, f"{options.entropy_threshold}D", options)
     return (
-        f"CASE WHEN {holds_fragment(f'lower({key})', options)}"
+        f"CASE WHEN {holds_fragment(lowered or f'lower({key})', options)}"
         f" THEN octet_length({key}) <= {fixed.LONG_KEY_LENGTH} OR NOT ({looks_random})"
         f" ELSE {matches_key_pattern(key, options)} END"
     )
 
 
-def may_hold_key(text: str, options: Options) -> str:
-    """Cheap line-level test: without it no token of the line can be a sensitive key."""
+def may_hold_key(lowered: str, options: Options) -> str:
+    """Cheap test of a lower-cased line: without it no token can be a sensitive key."""
     if options.key_patterns:
         return "true"
-    return holds_fragment(f"lower({text})", options)
+    return holds_fragment(lowered, options)
 
 
 def is_context_word(lowered: str) -> str:
     return f"{lowered} IN ({', '.join(lit(w) for w in fixed.CONTEXT_WORDS)})"
 
 
-def may_hold_context(text: str) -> str:
-    return any_of([f"contains(lower({text}), {lit(w)})" for w in _shortest(fixed.CONTEXT_WORDS)])
+def may_hold_context(lowered: str) -> str:
+    return any_of([f"contains({lowered}, {lit(w)})" for w in _shortest(fixed.CONTEXT_WORDS)])
 
 
 def is_generic_name(lowered: str) -> str:

@@ -80,12 +80,20 @@ def bigram_adjustment(t: str, options: Options) -> str:
     return f"CASE WHEN octet_length({t}) <= 3 THEN 0D ELSE {decided} END"
 
 
-def _may_gain(t: str, options: Options) -> str:
-    """Can the bigram part be positive? Only when some pair is rarer than the limit."""
+def rare_pairs(options: Options) -> list[str] | None:
+    """Pairs without which the bigram part cannot be positive; None when any token can gain."""
+    if not options.bigram_check:
+        return []
     if options.bigram_default < fixed.BIGRAM_UNLIKELY:
+        return None
+    return [bg for bg, p in fixed.BIGRAMS.items() if p < fixed.BIGRAM_UNLIKELY]
+
+
+def _may_gain(t: str, options: Options) -> str:
+    rare = rare_pairs(options)
+    if rare is None:
         return "true"
-    rare = [bg for bg, p in fixed.BIGRAMS.items() if p < fixed.BIGRAM_UNLIKELY]
-    return f"lower({t}) RLIKE '{'|'.join(rare)}'"
+    return f"lower({t}) RLIKE '{'|'.join(rare)}'" if rare else "false"
 
 
 def complexity(t: str, options: Options) -> str:
@@ -94,34 +102,36 @@ def complexity(t: str, options: Options) -> str:
     return f"CASE WHEN {t} = '' THEN 0D ELSE {parts} END"
 
 
-def longest_quiet(classes: int, threshold: float, options: Options) -> int:
+def longest_quiet(classes: int, threshold: float, gain: bool) -> int:
     """Longest token of so many character classes whose score cannot pass ``threshold``:
-    entropy is at most log2(length)."""
-    gain = fixed.BIGRAM_UNLIKELY_ADJUST if options.bigram_check else 0.0
-    room = threshold - gain - fixed.CLASS_BONUS * (classes - 1)
+    entropy is at most log2(length), a gain at most +0.5."""
+    room = threshold - (fixed.BIGRAM_UNLIKELY_ADJUST if gain else 0.0) - fixed.CLASS_BONUS * (classes - 1)
     return int(2**room + GUARD) if room >= 0 else 0
 
 
 def exceeds(t: str, threshold: str, options: Options) -> str:
     """``complexity(t) > threshold``, computing only what the answer needs.
 
-    Entropy is at most log2(length) and the bigram part at most +0.5, so short
-    one-class words are settled before any character is counted, and pairs are
-    looked up only when they can change the answer.
+    Entropy is at most log2(length) and the bigram part at most +0.5 (and that
+    only with a rare pair), so short words of few classes are settled before any
+    character is counted, and pairs are looked up only when they can change the
+    answer.
     """
     limit = f"({threshold} + {GUARD}D)"
-    # The fold starts at −bonus·length, so the bonus rides along and is counted once.
-    bits = f"log2(char_length({t})) - rep / char_length({t})"
+    bits = f"b - rep / char_length({t})"
     if options.bigram_check:
         up, down = f"{fixed.BIGRAM_UNLIKELY_ADJUST}D", f"{fixed.BIGRAM_LIKELY_ADJUST}D"
+        reachable = f"(b > {limit} OR b + {up} > {limit} AND {_may_gain(t, options)})"
         late = (
-            f"CASE WHEN {bits} > {limit} OR {bits} + {up} > {limit} AND {_may_gain(t, options)}"
-            f" THEN {bits} + {down} > {limit} OR {bits} + {bigram_adjustment(t, options)} > {limit} ELSE false END"
+            f"CASE WHEN {bits} + {up} <= {limit} THEN false WHEN {bits} + {down} > {limit} THEN true"
+            f" ELSE {bits} + {bigram_adjustment(t, options)} > {limit} END"
         )
     else:
-        up, late = "0D", f"{bits} > {limit}"
+        reachable, late = f"b > {limit}", f"{bits} > {limit}"
+    counted = (
+        f"aggregate({character_runs(t)}, 0D, (acc, r) -> acc + char_length(r) * log2(char_length(r)), rep -> {late})"
+    )
     return (
-        f"CASE WHEN {t} = '' OR log2(char_length({t})) + {class_bonus(t)} + {up} <= {limit} THEN false ELSE "
-        f"aggregate({character_runs(t)}, -1D * {class_bonus(t)} * char_length({t}),"
-        f" (acc, r) -> acc + char_length(r) * log2(char_length(r)), rep -> {late}) END"
+        f"transform(array(CASE WHEN {t} = '' THEN -100D ELSE log2(char_length({t})) + {class_bonus(t)} END),"
+        f" b -> CASE WHEN {reachable} THEN {counted} ELSE false END)[0]"
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed
-from .sqltext import lit
+from .sqltext import let, lit
 
 SEP_CLASS = _SEP = r" \t,;\[\]{}()<>"
 # A token is a run of plain characters and quoted strings. Inside quotes a
@@ -57,7 +57,7 @@ def is_quoted(t: str) -> str:
 
 def unquote(t: str) -> str:
     """Without matching outer quotes."""
-    return rf"""regexp_replace({t}, '(?s)\\A(["\'])(.*)\\1\\z', '$2')"""
+    return f"CASE WHEN {is_quoted(t)} THEN substring({t}, 2, char_length({t}) - 2) ELSE {t} END"
 
 
 def trim_space(t: str) -> str:
@@ -68,6 +68,11 @@ def ends_with_mark(t: str) -> str:
     return f"(endswith({t}, ':') OR endswith({t}, '='))"
 
 
+def stem(trimmed: str) -> str:
+    """Without one trailing ``:`` or ``=``."""
+    return f"CASE WHEN {ends_with_mark(trimmed)} THEN left({trimmed}, char_length({trimmed}) - 1) ELSE {trimmed} END"
+
+
 def clean(t: str) -> str:
     """Without surrounding space, one trailing ``:`` or ``=``, and outer quotes."""
-    return unquote(rf"regexp_replace({trim_space(t)}, '[:=]\\z', '')")
+    return let(stem(trim_space(t)), unquote)

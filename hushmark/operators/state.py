@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keys
 from ..functions.sqltext import let
 from ..options import Options
 from ..plans import scan
@@ -14,10 +13,7 @@ from ..plans import scan
 def token_state(lines: DataFrame, options: Options, column: str = "line") -> DataFrame:
     """One row per non-separator token of a card-free line: ``pos, token, sensitive``
     and the flags forced, context, in_value, raised (a generic pair named a secret)."""
-    ln = (
-        f"named_struct('x', {column}, 'mode', {scan.SEGMENT}, 'key', {keys.may_hold_key(column, options)},"
-        f" 'ctx', {keys.may_hold_context(column)})"
-    )
+    ln = scan.line_facts(column, str(scan.SEGMENT), options)
     zipped = let(ln, lambda v: let(scan._facts(v, options), lambda fs: (
         f"zip_with({fs}, {scan._flags(fs, options)}, (ft, fl) ->"
         f" named_struct('token', ft.t, 'sensitive', ft.k, 'bits', ascii(fl) - {scan._FIRST_FLAG}))"

@@ -23,7 +23,7 @@ from ..options import Options
 LITERAL, PLAIN, CONTEXT, FORCED, URL_VALUE, URL_KEYED, CARD, SEGMENT, QUERY, TOKEN, TOKEN_RAISED = range(11)
 
 LEAF = "STRUCT<m: INT, p: STRING, c: STRING, o: STRING, a: BOOLEAN, s: STRING>"
-_BUFFER = 1024  # flag characters kept in one string before they are set aside
+_STRETCH = 512  # tokens folded in one go
 _FIRST_FLAG = 65
 
 
@@ -39,45 +39,44 @@ def leaf(mode, p: str = "''", c: str = "''", o: str | None = None, a: str = "fal
 def _facts(ln: str, options: Options) -> str:
     """ARRAY of what each token of ``ln`` is, independent of the others.
 
-    sep separators before it, t the token, col its splitting colon, es ends in
-    ``:`` or ``=``, bl blank, cl cleaned text, k its key is sensitive, ctx it is
-    a context word. cl, k and ctx are worked out only where the line can need
-    them.
+    sep separators before it, t the token, b and eq the body an ``=`` splits and
+    its place, col the splitting colon, es ends in ``:`` or ``=``, bl blank, cl
+    cleaned text, k its key is sensitive, ctx it is a context word. cl, k and
+    ctx are worked out only where the line can need them.
     """
     split = f"CASE WHEN {ln}.mode >= {TOKEN} THEN array({ln}.x) ELSE {tokens.pieces(f'{ln}.x')} END"
-    first = (
-        f"transform({split}, p -> named_struct('x', p, 't',"
-        f" CASE WHEN {ln}.mode >= {TOKEN} THEN p ELSE {tokens.piece_token('p')} END))"
-    )
+    token = f"CASE WHEN {ln}.mode >= {TOKEN} THEN p ELSE {tokens.piece_token('p')} END"
+    first = f"transform({split}, p -> named_struct('x', p, 't', {token}))"
     second = (
-        f"transform({first}, f -> named_struct('sep', left(f.x, char_length(f.x) - char_length(f.t)), 't', f.t,"
-        f" 'col', {pairs.colon_at('f.t')}, 'w', {tokens.trim_space('f.t')}))"
+        f"transform({first}, f -> named_struct('x', f.x, 't', f.t, 'col', {pairs.colon_at('f.t')},"
+        f" 'b', CASE WHEN contains(f.t, '=') THEN {pairs.equal_body('f.t')} END, 'w', {tokens.trim_space('f.t')}))"
+    )
+    key = (
+        f"CASE WHEN NOT {ln}.key OR {pairs.is_url_like('f.t')} THEN NULL WHEN f.b IS NOT NULL THEN {pairs.before('f.b', '=')}"
+        f" WHEN f.col = 0 THEN {tokens.unquote('f.t')} WHEN {shapes.is_registry_image('f.t')} THEN NULL"
+        f" ELSE {tokens.unquote('left(f.t, f.col - 1)')} END"
     )
     third = (
-        f"transform({second}, f -> named_struct('sep', f.sep, 't', f.t, 'col', f.col,"
-        f" 'es', {tokens.ends_with_mark('f.w')}, 'bl', f.w = '',"
-        f" 'cl', CASE WHEN {ln}.key OR {ln}.ctx THEN {tokens.clean('f.t')} END,"
-        f" 'kc', CASE WHEN {ln}.key AND NOT {pairs.is_url_like('f.t')}"
-        f" AND (contains(f.t, '=') OR f.col = 0 OR NOT {shapes.is_registry_image('f.t')})"
-        f" THEN {pairs.pair_key('f.t', 'f.col')} END))"
+        f"transform({second}, f -> named_struct('sep', left(f.x, char_length(f.x) - char_length(f.t)), 't', f.t,"
+        f" 'b', f.b, 'eq', locate('=', f.b), 'col', f.col, 'es', {tokens.ends_with_mark('f.w')}, 'bl', f.w = '',"
+        f" 'st', CASE WHEN {ln}.key OR {ln}.ctx THEN {tokens.stem('f.w')} END, 'kc', {key}))"
     )
+    cleaned = tokens.unquote("f.st")
     return (
-        f"transform({third}, f -> named_struct('sep', f.sep, 't', f.t, 'col', f.col, 'es', f.es, 'bl', f.bl, 'cl', f.cl,"
+        f"transform({third}, f -> named_struct('sep', f.sep, 't', f.t, 'b', f.b, 'eq', f.eq, 'col', f.col, 'es', f.es, 'bl', f.bl,"
+        f" 'cl', {cleaned},"
         f" 'k', CASE WHEN f.kc IS NULL THEN false ELSE {keys.is_sensitive_key('f.kc', options)} END,"
-        f" 'ctx', CASE WHEN {ln}.ctx THEN {keys.is_context_word('lower(f.cl)')} ELSE false END))"
+        f" 'ctx', CASE WHEN {ln}.ctx THEN {keys.is_context_word(f'lower({cleaned})')} ELSE false END))"
     )
 
 
-def _is_key(options: Options) -> str:
+def _is_key() -> str:
     """Does token ``f`` announce a secret value, given the state ``acc``?"""
-    t = "f.t"
-    body = pairs.equal_body(t)
-    value_empty = f"locate('=', {body}) = char_length({body})"
-    equal = f"{value_empty} AND (f.k OR acc.n AND NOT {tokens.starts_quoted(t)})"
+    equal = f"f.eq = char_length(f.b) AND (f.k OR acc.n AND NOT {tokens.starts_quoted('f.t')})"
     return (
-        f"CASE WHEN NOT (f.k OR acc.n) OR {pairs.is_url_like(t)} THEN false"
-        f" WHEN contains({t}, '=') THEN {equal}"
-        f" WHEN f.col > 0 THEN NOT {shapes.is_registry_image(t)}"
+        f"CASE WHEN NOT (f.k OR acc.n) OR {pairs.is_url_like('f.t')} THEN false"
+        f" WHEN f.b IS NOT NULL THEN {equal}"
+        f" WHEN f.col > 0 THEN NOT {shapes.is_registry_image('f.t')}"
         " ELSE NOT acc.v END"
     )
 
@@ -87,35 +86,41 @@ def _fold_step(options: Options) -> str:
 
     State: k a value is expected to be secret, c after a context word, v in
     value position, g after a generic key name, n the next key is sensitive;
-    b and d collect one flag character per token.
+    b collects one flag character per token.
     """
     code = (
         f"char({_FIRST_FLAG} + CASE WHEN acc.k THEN 1 ELSE 0 END + CASE WHEN acc.c THEN 2 ELSE 0 END"
         " + CASE WHEN acc.v THEN 4 ELSE 0 END + CASE WHEN acc.n THEN 8 ELSE 0 END)"
     )
     names_key = f"acc.v AND acc.g AND f.cl IS NOT NULL AND {keys.is_sensitive_key('f.cl', options)}"
-    full = f"octet_length(acc.b) >= {_BUFFER}"
     return (
-        f"transform(array({_is_key(options)}), key -> named_struct("
+        f"transform(array({_is_key()}), key -> named_struct("
         "'k', key OR (NOT acc.v AND acc.k),"
         " 'c', f.ctx,"
         " 'v', CASE WHEN f.bl THEN acc.v ELSE f.es END,"
         f" 'g', CASE WHEN key THEN {keys.is_generic_name('lower(f.cl)')} ELSE NOT acc.v AND acc.g END,"
         f" 'n', CASE WHEN key THEN false ELSE acc.n OR {names_key} END,"
-        f" 'b', CASE WHEN {full} THEN {code} ELSE concat(acc.b, {code}) END,"
-        f" 'd', CASE WHEN {full} THEN concat(acc.d, array(acc.b)) ELSE acc.d END))[0]"
+        f" 'b', array_join(array(acc.b, {code}), '')))[0]"
     )
 
 
 def _flags(facts: str, options: Options) -> str:
-    """One flag character per token."""
-    zero = (
-        "named_struct('k', false, 'c', false, 'v', false, 'g', false, 'n', false,"
-        " 'b', '', 'd', CAST(array() AS ARRAY<STRING>))"
+    """One flag character per token.
+
+    The fold runs in stretches of a fixed number of tokens: a stretch grows its
+    own short flag string and hands its last state on, so that very long lines
+    cost no more per token than short ones.
+    """
+    blank = "named_struct('k', false, 'c', false, 'v', false, 'g', false, 'n', false, 'b', '')"
+    resume = "named_struct('k', o.s.k, 'c', o.s.c, 'v', o.s.v, 'g', o.s.g, 'n', o.s.n, 'b', '')"
+    stretch = (
+        f"aggregate(slice({facts}, i * {_STRETCH} + 1, {_STRETCH}), {resume}, (acc, f) -> {_fold_step(options)})"
     )
     return (
-        f"split(aggregate({facts}, {zero}, (acc, f) -> {_fold_step(options)},"
-        " acc -> concat(array_join(acc.d, ''), acc.b)), '')"
+        f"split(aggregate(sequence(0, greatest(size({facts}) - 1, 0) DIV {_STRETCH}),"
+        f" named_struct('s', {blank}, 'd', CAST(array() AS ARRAY<STRING>)),"
+        f" (o, i) -> named_struct('s', {stretch}, 'd', concat(o.d, array(o.s.b))),"
+        " o -> concat(array_join(o.d, ''), o.s.b)), '')"
     )
 
 
@@ -132,15 +137,15 @@ def _token_leaf(f: str, bits: str) -> str:
 
     url = f"CASE WHEN contains({t}, '?') THEN {leaf(QUERY, sep, t)} ELSE {leaf(LITERAL, sep, t)} END"
 
-    body = pairs.equal_body(t)
     quote = f"CASE WHEN {tokens.is_quoted(t)} THEN left({t}, 1) ELSE '' END"
-    value = pairs.after(body, "=")
+    value = f"substring({f}.b, {f}.eq + 1)"
     equal_mode = (
         f"CASE WHEN {f}.k OR ({override} AND NOT {tokens.starts_quoted(t)}) THEN {FORCED}"
-        f" WHEN contains({value}, '=') OR contains({value}, ':') THEN CASE WHEN {override} THEN {TOKEN_RAISED} ELSE {TOKEN} END"
+        f" WHEN locate('=', {f}.b, {f}.eq + 1) > 0 OR locate(':', {f}.b, {f}.eq + 1) > 0"
+        f" THEN CASE WHEN {override} THEN {TOKEN_RAISED} ELSE {TOKEN} END"
         f" WHEN {tokens.starts_quoted(t)} THEN {SEGMENT} ELSE {PLAIN} END"
     )
-    equal = leaf(equal_mode, f"concat({sep}, {quote}, {pairs.before(body, '=')}, '=')", value, s=quote)
+    equal = leaf(equal_mode, f"concat({sep}, {quote}, left({f}.b, {f}.eq))", value, s=quote)
 
     colon = (
         f"CASE WHEN {f}.col = char_length({t}) OR {shapes.is_registry_image(t)} THEN {leaf(LITERAL, sep, t)} ELSE "
@@ -153,18 +158,26 @@ def _token_leaf(f: str, bits: str) -> str:
     )
     word = leaf(f"CASE WHEN {announces} THEN {LITERAL} ELSE {judged} END", sep, t, a="true")
     inner = tokens.unquote(t)
+    # A quoted value that is one bare word needs no opening: it is a fresh single token.
+    one_word = f"NOT {inner} RLIKE {lit('[' + tokens.SEP_CLASS + '=:?' + chr(34) + chr(39) + ']')}"
+    quote_before = f"concat({sep}, left({t}, 1))"
     quoted = (
         f"CASE WHEN {announces} THEN {leaf(LITERAL, sep, t)}"
         f" WHEN {in_value} AND NOT ({forced}) AND {tokens.is_quoted(t)} THEN "
-        + leaf(SEGMENT, f"concat({sep}, left({t}, 1))", inner, s=f"right({t}, 1)")
+        + leaf(
+            f"CASE WHEN NOT {one_word} THEN {SEGMENT} WHEN {f}.k THEN {LITERAL} ELSE {PLAIN} END",
+            quote_before,
+            inner,
+            a="true",
+            s=f"right({t}, 1)",
+        )
         + f" ELSE {leaf(judged, sep, inner, o=t, a='true')} END"
     )
     return (
-        f"CASE WHEN {t} = '' THEN {leaf(LITERAL, sep, t)}"
+        f"CASE WHEN {f}.b IS NULL AND {f}.col = 0 AND NOT {tokens.starts_quoted(t)} THEN {word}"
         f" WHEN {pairs.is_url_like(t)} THEN {url}"
-        f" WHEN contains({t}, '=') THEN {equal}"
-        f" WHEN {f}.col > 0 THEN {colon}"
-        f" WHEN {tokens.starts_quoted(t)} THEN {quoted} ELSE {word} END"
+        f" WHEN {f}.b IS NOT NULL THEN {equal}"
+        f" WHEN {f}.col > 0 THEN {colon} ELSE {quoted} END"
     )
 
 
@@ -174,11 +187,7 @@ def _open_segment(x: str, options: Options) -> str:
     Without a key fragment, a context word and a quote no token can influence
     another, and the fold over the state is skipped.
     """
-    text = f"{x}.c"
-    line = (
-        f"named_struct('x', {text}, 'mode', {x}.m, 'key', {keys.may_hold_key(text, options)},"
-        f" 'ctx', {keys.may_hold_context(text)}, 'quote', {_has_quote(text)})"
-    )
+    line = line_facts(f"{x}.c", f"{x}.m", options)
 
     def opened(ln: str) -> str:
         return let(
@@ -192,6 +201,15 @@ def _open_segment(x: str, options: Options) -> str:
     return let(line, opened)
 
 
+def line_facts(text: str, mode: str, options: Options) -> str:
+    """STRUCT(x, mode, key, ctx, quote): the text and what its tokens can be."""
+    return let(
+        f"lower({text})",
+        lambda low: f"named_struct('x', {text}, 'mode', {mode}, 'key', {keys.may_hold_key(low, options)},"
+        f" 'ctx', {keys.may_hold_context(low)}, 'quote', {_has_quote(text)})",
+    )
+
+
 def _has_quote(text: str) -> str:
     return f"""(contains({text}, '"') OR contains({text}, '\\''))"""
 
@@ -236,9 +254,9 @@ def _cut_cards(line: str) -> str:
 def leaves(line: str, options: Options) -> str:
     """ARRAY of leaves of a valid UTF-8 line; their texts joined give the line back.
 
-    Opening repeats until nothing is left to open. Each round uses up a pair of
-    quotes, an ``=`` or a query mark of whatever it opens, which bounds the
-    rounds; finished lines skip the remaining ones.
+    Opening repeats until nothing is left to open. Whatever is opened loses a
+    pair of quotes, an ``=`` or a query mark, so the token with most of these
+    bounds the rounds.
     """
     opened = (
         f"CASE WHEN x.m = {QUERY} THEN {_open_query('x.c', options)} ELSE {_open_segment('x', options)} END"
@@ -249,14 +267,26 @@ def leaves(line: str, options: Options) -> str:
         f"CASE WHEN x.p = '' THEN {none} ELSE array({leaf(LITERAL, 'x.p')}) END, {opened},"
         f" CASE WHEN x.s = '' THEN {none} ELSE array({leaf(LITERAL, 'x.s')}) END) END"
     )
-    again = f"flatten(transform(st.items, x -> {around}))"
-    marks = f"octet_length({line}) - octet_length(translate({line}, '\"\\'=', ''))"
-    rounds = f"CASE WHEN {marks} = 0 THEN 1 ELSE 3 + {marks} END"
     return (
-        f"aggregate(sequence(1, {rounds}), named_struct('open', true, 'items', CAST({_cut_cards(line)} AS ARRAY<{LEAF}>)),"
-        f" (st, r) -> CASE WHEN NOT st.open THEN st"
-        f" WHEN exists(st.items, y -> y.m >= {SEGMENT}) THEN named_struct('open', true, 'items', {again})"
-        " ELSE named_struct('open', false, 'items', st.items) END, st -> st.items)"
+        f"aggregate(sequence(1, {_rounds(line)}), CAST({_cut_cards(line)} AS ARRAY<{LEAF}>),"
+        f" (items, r) -> CASE WHEN exists(items, y -> y.m >= {SEGMENT})"
+        f" THEN flatten(transform(items, x -> {around})) ELSE items END)"
+    )
+
+
+def _rounds(line: str) -> str:
+    """How often leaves of a line may have to be opened, the line itself included."""
+
+    def measure(t: str) -> str:
+        quotes = f"(octet_length({t}) - octet_length(translate({t}, '\"\\'', '')))"
+        equals = f"(octet_length({t}) - octet_length(replace({t}, '=', '')))"
+        return f"{equals} + {quotes} DIV 2 + CASE WHEN contains({t}, '?') THEN 1 ELSE 0 END"
+
+    # Cutting out a card changes where quotes pair up: then the whole line counts.
+    per_token = f"array_max(transform({tokens.pieces(line)}, p -> {measure('p')}))"
+    return (
+        f"CASE WHEN NOT ({_has_quote(line)} OR contains({line}, '=') OR contains({line}, '?')) THEN 1"
+        f" WHEN {cards.may_hold_card(line)} THEN 2 + {measure(line)} ELSE 1 + coalesce({per_token}, 0) END"
     )
 
 
@@ -336,34 +366,62 @@ def _plain_limit(adaptive: tuple[str, str] | None, options: Options) -> str | No
     return f"CASE WHEN i >= {first} THEN {limit} ELSE {options.entropy_threshold}D END"
 
 
-def _quiet(line: str, options: Options) -> str:
-    """Provably nothing to hide: independent bare words only, none of which scores.
-
-    Most lines of prose end here. Words that are too short for their kind to
-    reach the threshold are not even extracted.
-    """
+def _bare(line: str, options: Options) -> str:
+    """The line holds bare words only: no key, pair, quote, card or context word,
+    so every token is judged on its own against the base threshold."""
     if options.custom_rules or options.key_patterns or options.adaptive:
         return "false"
+    words_only = let(
+        f"lower({line})",
+        lambda low: f"NOT ({keys.may_hold_key(low, options)} OR {keys.may_hold_context(low)})",
+    )
+    marks = f"{_has_quote(line)} OR contains({line}, '=') OR contains({line}, ':') OR {cards.may_hold_card(line)}"
+    return f"CASE WHEN {marks} THEN false ELSE {words_only} END"
+
+
+def _bare_hits(line: str, options: Options) -> str:
+    """ARRAY of the tokens of a bare line that are hidden.
+
+    Words that are too short for their kind to reach the threshold are not even
+    extracted; in prose that is nearly all of them.
+    """
     limit = options.entropy_threshold
     sep = tokens.SEP_CLASS
-    one, two = (scores.longest_quiet(n, limit, options) for n in (1, 2))
+    rare = scores.rare_pairs(options)
+    gain = rare is None
+    guard = rf"(?!(?i:{'|'.join(rare)}))" if rare else ""
+    low, up = rf"(?:{guard}\p{{Ll}})", rf"{guard}\p{{Lu}}"
+    one, two, three = (scores.longest_quiet(n, limit, gain) for n in (1, 2, 3))
     short = []
     if one >= 1:
-        short.append(rf"\p{{Ll}}{{1,{one}}}+")
+        short.append(rf"{low}{{1,{one}}}+")
     if two >= 2:
-        short += [rf"\p{{Lu}}\p{{Ll}}{{1,{two - 1}}}+", rf"\p{{Ll}}{{1,{two - 1}}}+\p{{P}}"]
+        short += [rf"{up}{low}{{1,{two - 1}}}+", rf"{low}{{1,{two - 1}}}+\p{{P}}"]
+    if three >= 3:
+        short.append(rf"{up}{low}{{1,{three - 2}}}+\p{{P}}")
     skip = f"(?!(?:{'|'.join(short)})(?:[{sep}]|\\z))" if short else ""
-    least = scores.longest_quiet(4, limit, options) + 1
+    least = scores.longest_quiet(4, limit, options.bigram_check) + 1
     word = rf"(?<![^{sep}]){skip}[^{sep}]{{{least},}}+"
-    dull = (
-        f"NOT ({_has_quote(line)} OR contains({line}, '=') OR contains({line}, ':') OR {cards.may_hold_card(line)}"
-        f" OR {keys.may_hold_key(line, options)} OR {keys.may_hold_context(line)})"
-    )
     scored = (
         f"octet_length(t) >= {options.min_secret_length} AND {scores.exceeds('t', f'{limit}D', options)}"
         f" AND NOT {shapes.is_safe('t', options)}"
     )
-    return f"CASE WHEN {dull} THEN NOT exists(regexp_extract_all({line}, {lit(word)}, 0), t -> {scored}) ELSE false END"
+    return f"filter(regexp_extract_all({line}, {lit(word)}, 0), t -> {scored})"
+
+
+def _bare_redacted(line: str, options: Options) -> str:
+    """A bare line with its hits replaced; without a hit it is returned as it is."""
+    token = tokens.piece_token("p")
+    x = f"named_struct('m', {PLAIN}, 'c', {token}, 'o', {token}, 'a', true)"
+    put = let(
+        x,
+        lambda v: f"CASE WHEN array_contains(hits, {v}.c) THEN concat(left(p, char_length(p) - char_length({v}.c)),"
+        f" {_quoted(v, pseudonym.placeholder(f'{v}.c'))}) ELSE p END",
+    )
+    return (
+        f"transform(array({_bare_hits(line, options)}), hits -> CASE WHEN size(hits) = 0 THEN {line}"
+        f" ELSE array_join(transform({tokens.pieces(line)}, p -> {put}), '') END)[0]"
+    )
 
 
 def redact(text: str, options: Options, adaptive: tuple[str, str] | None = None) -> str:
@@ -375,8 +433,11 @@ def redact(text: str, options: Options, adaptive: tuple[str, str] | None = None)
     plain = _plain_limit(adaptive, options)
 
     def body(line: str) -> str:
-        done = f"transform({leaves(line, options)}, (x, i) -> concat(x.p, {_out('x', options, plain)}, x.s))"
-        return f"CASE WHEN {line} = '' OR {_quiet(line, options)} THEN {line} ELSE array_join({done}, '') END"
+        done = f"flatten(transform({leaves(line, options)}, (x, i) -> array(x.p, {_out('x', options, plain)}, x.s)))"
+        return (
+            f"CASE WHEN {line} = '' THEN {line} WHEN {_bare(line, options)} THEN {_bare_redacted(line, options)}"
+            f" ELSE array_join({done}, '') END"
+        )
 
     return let(tokens.repair(text), body)
 
@@ -411,8 +472,11 @@ def findings(text: str, options: Options, adaptive: tuple[str, str] | None = Non
         hits = f"filter(transform({leaves(line, options)}, (x, i) -> {found}), y -> y IS NOT NULL)"
         fields = "'kind', y.kind, 'rule', y.rule, 'mark', y.mark, 'secret', y.secret"
         all_found = f"transform({hits}, (y, i) -> named_struct('pos', i, {fields}))"
-        none = f"CAST(array() AS ARRAY<{FINDING}>)"
-        return f"CASE WHEN {line} = '' OR {_quiet(line, options)} THEN {none} ELSE {all_found} END"
+        alone = (
+            f"transform({_bare_hits(line, options)}, (t, i) -> named_struct('pos', i, 'kind', '{KINDS[PLAIN]}',"
+            f" 'rule', {null}, 'mark', {pseudonym.placeholder('t')}, 'secret', t))"
+        )
+        return f"CASE WHEN {_bare(line, options)} THEN {alone} ELSE {all_found} END"
 
     return let(tokens.repair(text), body)
 
