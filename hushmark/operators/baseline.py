@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import pseudonym
+from ..functions import pseudonym, scores
 from ..options import Options
 from ..plans import scan
 
@@ -17,17 +17,19 @@ def samples(lines: DataFrame, options: Options, column: str = "line") -> DataFra
 
     Two rankings: first inside (source, salt), where Spark's group limit cuts
     each map task to N rows, then over at most N rows per salt. A source with a
-    third of all rows never meets in one task.
+    third of all rows never meets in one task. Only the samples are scored in full.
     """
     n = options.adaptive_samples
     rows = lines.select(
-        "source", "line_id", F.explode(F.expr(scan.kept_scores(column, options))).alias("s")
-    ).select("source", "line_id", F.col("s.pos").alias("pos"), F.col("s.score").alias("score"))
+        "source", "line_id", F.explode(F.expr(scan.kept_tokens(column, options))).alias("s")
+    ).select("source", "line_id", F.col("s.pos").alias("pos"), F.col("s.token").alias("token"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("line_id"), F.lit(_SALTS)))
     near = Window.partitionBy("source", "salt").orderBy("line_id", "pos")
     top = rows.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n)
     whole = Window.partitionBy("source").orderBy("line_id", "pos")
-    return top.drop("salt").withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
+    first = top.drop("salt").withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= n)
+    score = F.expr(scores.complexity("token", options))
+    return first.select("source", "line_id", "pos", score.alias("score"), "rank")
 
 
 def thresholds(sampled: DataFrame, options: Options) -> DataFrame:

@@ -481,22 +481,21 @@ def findings(text: str, options: Options, adaptive: tuple[str, str] | None = Non
     return let(tokens.repair(text), body)
 
 
-def kept_scores(text: str, options: Options) -> str:
-    """ARRAY of (pos, score) of leaves that were scored and kept: baseline samples."""
+def kept_tokens(text: str, options: Options) -> str:
+    """ARRAY of (pos, token) of leaves that are scored and kept: baseline samples,
+    still without their score. In a bare line every piece is a leaf."""
+    scored = (
+        f"{_long_enough('z.x', options)} AND NOT {shapes.is_safe('z.x.c', options)} AND {rules.rule_hit('z.x.c', options)} IS NULL"
+        f" AND NOT ({scores.exceeds('z.x.c', '(' + threshold_of('z.x', options) + ')', options)})"
+    )
 
     def body(line: str) -> str:
-        judged = (
-            f"filter(transform({leaves(line, options)}, (x, i) -> named_struct('i', i, 'x', x)), z ->"
-            f" z.x.m IN ({PLAIN}, {CONTEXT}) AND {_long_enough('z.x', options)}"
-            f" AND NOT {shapes.is_safe('z.x.c', options)} AND {rules.rule_hit('z.x.c', options)} IS NULL)"
-        )
-        scored = (
-            f"transform({judged}, z -> named_struct('pos', z.i, 'score', {scores.complexity('z.x.c', options)},"
-            f" 'limit', {threshold_of('z.x', options)}))"
-        )
+        token = tokens.piece_token("p")
+        bare = f"transform({tokens.pieces(line)}, (p, i) -> named_struct('i', i, 'x', named_struct('m', {PLAIN}, 'c', {token})))"
+        full = f"transform({leaves(line, options)}, (x, i) -> named_struct('i', i, 'x', named_struct('m', x.m, 'c', x.c)))"
         return (
-            f"transform(filter({scored}, w -> NOT w.score > w.limit + {scores.GUARD}D),"
-            " w -> named_struct('pos', w.pos, 'score', w.score))"
+            f"transform(filter(CASE WHEN {_bare(line, options)} THEN {bare} ELSE {full} END,"
+            f" z -> z.x.m IN ({PLAIN}, {CONTEXT}) AND {scored}), z -> named_struct('pos', z.i, 'token', z.x.c))"
         )
 
     return let(tokens.repair(text), body)

@@ -87,7 +87,7 @@ def test_hot_source_baseline_is_exact(spark):
     for source in ("hot", "cold"):
         mine = sorted((r.line_id, r.pos) for r in got if r.source == source)
         ids = [i for i in range(5000) if (i % 50 == 0) == (source == "cold")]
-        every = df.where(F.col("source") == source).select("line_id", F.explode(F.expr(scan.kept_scores("line", BASE))).alias("s"))
+        every = df.where(F.col("source") == source).select("line_id", F.explode(F.expr(scan.kept_tokens("line", BASE))).alias("s"))
         want = sorted((r.line_id, r.s.pos) for r in every.where(F.col("line_id") <= ids[40]).collect())[:20]
         assert mine == want
 
