@@ -104,9 +104,10 @@ def complexity(t: str, options: Options) -> str:
 
 def longest_quiet(classes: int, threshold: float, gain: bool) -> int:
     """Longest token of so many character classes whose score cannot pass ``threshold``:
-    entropy is at most log2(length), a gain at most +0.5."""
+    entropy is at most log2(length), a gain at most +0.5. Never more than 1000, so
+    that it can stand in a pattern; longer tokens are simply scored."""
     room = threshold - (fixed.BIGRAM_UNLIKELY_ADJUST if gain else 0.0) - fixed.CLASS_BONUS * (classes - 1)
-    return int(2**room + GUARD) if room >= 0 else 0
+    return min(int(2 ** min(room, 10.0) + GUARD), 1000) if room >= 0 else 0
 
 
 def exceeds(t: str, threshold: str, options: Options) -> str:

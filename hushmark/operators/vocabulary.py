@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import keys, pairs, rules, scores, shapes, tokens
-from ..functions.sqltext import lit
 from ..options import Options
 
 
@@ -134,6 +133,3 @@ def context_words(lines: DataFrame, column: str = "line") -> DataFrame:
     """Tokens that are context words, in place."""
     rows = token_rows(lines, column).where("NOT is_sep")
     return rows.withColumn("word", F.expr(f"lower({tokens.clean('token')})")).where(F.expr(keys.is_context_word("word")))
-
-
-__all__ = [name for name in globals() if not name.startswith("_") and name not in ("annotations", "lit")]

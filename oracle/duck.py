@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hmac  # noqa: F401  (the SQL below must agree with it; used by the tests)
-
 from hushmark import fixed
 from hushmark.options import Options
 from hushmark.sources import derived

@@ -171,3 +171,19 @@ def test_correlation_of_a_hot_secret(spark):
     df = spark.range(3000).selectExpr("concat('src', id % 3) AS source", "id AS line_id", "IF(id % 3 = 0, 'token=hotSecret1', concat('token=cold', id)) AS line")
     top = redaction.correlate(redaction.find(df, BASE)).orderBy(F.desc("n")).first()
     assert top.n == 1000 and top.n_sources == 1
+
+
+def test_bare_lines_agree_with_the_full_plan(spark):
+    """The short path must never change a result: a rule that matches nothing switches it off."""
+    from hushmark import Rule
+    from tests.conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = line_source.split_documents(docs, "doc_id", "text").select("doc_id", "line_no", "line").cache()
+    for change in ({}, {"entropy_threshold": 100.0}, {"entropy_threshold": 2.0}, {"bigram_check": False}, {"bigram_default": -8.0}, {"min_secret_length": 3, "entropy_threshold": 3.0}):
+        o = BASE.with_(**change)
+        never = o.with_(custom_rules=(Rule(r"\Anever-matches-[0-9]{40}\z", "Never"),))
+        short = redaction.redact_lines(texts, o)
+        full = redaction.redact_lines(texts, never, out="expected").drop("line")
+        n = short.join(full, ["doc_id", "line_no"]).where("NOT redacted <=> expected").count()
+        assert n == 0, change
