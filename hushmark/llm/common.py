@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEAVY = 1024  # a key is heavy above 1/HEAVY of all rows, so at most HEAVY keys are
@@ -58,36 +58,61 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int
     return hot.unionByName(rest.join(light, key, "left"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def row_key(doc_id: str, text: str):
+    """Two columns that identify a row by id and text, null-safe."""
+    return F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.octet_length(text), F.lit(-1))
+
+
+def only(docs: DataFrame, stays: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` is in ``stays`` (``k1, k2``), one of each id and text."""
+    k1, k2, nth = fresh(docs, "k1_"), fresh(docs, "k2_"), fresh(docs, "nth_")
+    keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
+    kept = keyed.join(stays.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_semi")
+    ranked = kept.withColumn(nth, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1))))
+    return ranked.where(F.col(nth) == 1).select(*docs.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star rounds over written tables, until nothing
     changes; each edge is kept once, so a round costs one aggregation and one join.
     """
-    def clean(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-
-    now = written(clean(edges), "edges")
+    now = written(_down(edges, a, b), "edges")
+    seen = _print(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, "v > u")
-        both = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-        after = written(_star(both, None), "stars")
-        changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        large = _down(_star(both, True), "u", "v")
+        now, before = written(_down(_star(large, False), "u", "v"), "stars"), seen
+        seen = _print(now)
+        if seen == before:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _star(pairs: DataFrame, keep: str | None) -> DataFrame:
-    """Link the neighbours of each ``u`` (those that ``keep`` names) and ``u`` itself to the smallest of them."""
+def _down(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+
+
+def _print(df: DataFrame) -> tuple:
+    """Fingerprint of a table: two tables with the same rows have the same one."""
+    h = F.xxhash64("u", "v")
+    return tuple(df.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h, "u"))).first())
+
+
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """Link the neighbours of each ``u`` to the smallest of them and ``u``: the larger
+    neighbours, or, where all are smaller, those and ``u`` itself."""
     pairs = written(pairs, "pairs")
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n_"))
     joined = join_hot(pairs, least, "u", "n_", max(pairs.count(), 1))
-    moved = joined.where(keep) if keep else joined
-    ends = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    if not keep:
-        ends = ends.unionByName(least.select("u", F.col("m").alias("v")))
-    return ends.where("u > v").distinct()
+    ends = (joined.where("v > u") if large else joined).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return ends if large else ends.union(least.select("u", F.col("m").alias("v")))

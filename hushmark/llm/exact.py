@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, partitions, written
+from .common import join_hot, only, partitions, row_key, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -17,7 +17,9 @@ def normalised(text: str = "text"):
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One small row per document: row number, id, length, and three digests of the normalised text."""
     norm = normalised(text)
+    k1, k2 = row_key(doc_id, text)
     return docs.select(
+        k1.alias("k1"), k2.alias("k2"),
         F.col(doc_id).alias("doc_id"),
         F.monotonically_increasing_id().alias("uid"),
         F.coalesce(F.char_length(text), F.lit(0)).alias("n"),
@@ -56,7 +58,7 @@ def merged_runs(rows: DataFrame, fan_in: int = 4) -> DataFrame:
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Which rows have equal texts after blanks are deleted, and which row of each group stays.
 
-    Returns ``doc_id, uid, n, digest, keep_id, keep_uid, group_size, kept``, one row per
+    Returns ``doc_id, uid, k1, k2, digest, keep_id, keep_uid, group_size, kept``, one row per
     document. Null text equals the empty text. The longest original (in code points)
     stays, then the smallest id, null ids last, then the first row in scan order; so of
     rows that repeat an id and a text exactly one is kept. Other columns are ignored,
@@ -68,7 +70,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     found = join_hot(rows, groups, "digest", "size", max(rows.count(), 1))
     alone = F.col("size").isNull()
     return found.select(
-        "doc_id", "uid", "n", "digest",
+        "doc_id", "uid", "k1", "k2", "digest",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.when(alone, F.col("uid")).otherwise(F.col("keep_uid")).alias("keep_uid"),
         F.coalesce("size", F.lit(1)).alias("group_size"),
@@ -78,12 +80,4 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of every group of equal texts, all columns as they were."""
-    stays = exact_dedup(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("id_"), F.col("n").alias("n_"), F.col("digest").alias("d_"))
-    rows = docs.withColumn("sha_", F.unhex(F.sha2(normalised(text), 256))).withColumn("len_", F.coalesce(F.char_length(text), F.lit(0)))
-    same = rows[doc_id].eqNullSafe(F.col("id_")) & (F.col("len_") == F.col("n_")) & (F.col("sha_") == F.col("d_.sha"))
-    kept = rows.join(stays, same, "left_semi")
-    from pyspark.sql import Window
-
-    # rows that repeat an id and a text pass the join together: one of them stays
-    nth = F.row_number().over(Window.partitionBy(doc_id, "sha_", "len_").orderBy(F.lit(1)))
-    return kept.withColumn("nth_", nth).where("nth_ = 1").drop("nth_", "sha_", "len_")
+    return only(docs, exact_dedup(docs, doc_id, text).where("kept"), doc_id, text)

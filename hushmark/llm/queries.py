@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact
+from . import exact, simhash
 from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op4_simhash_near_dedup(spark, sf):
+    found = simhash.near_dedup(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
+
+
 @query
 def op8_exact_dedup(spark, sf):
     found = exact.exact_dedup(table(spark, sf, "documents"))
