@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, simhash
+from . import exact, leaks, private, simhash, spans
 from .common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,24 @@ SELECT doc_id,
        text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op7_secret_scan(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return _reported(leaks.find_secrets(docs), leaks.KINDS, 3)
+
+
+@query
+def op10_personal_data(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return _reported(private.find_personal(docs), private.KINDS, 4)
+
+
+def _reported(found: DataFrame, kinds: tuple[str, ...], n_base: int) -> DataFrame:
+    return found.select(
+        "doc_id",
+        *(F.expr(spans.counted("base", k)).alias(f"n_{kinds[k]}") for k in range(n_base)),
+        F.sha2(F.expr(spans.listed("base", kinds)), 256).alias("base_sha256"),
+        F.expr(spans.listed("concat(base, extra)", kinds)).alias("spans"),
+    )
