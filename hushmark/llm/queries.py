@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, leaks, private, simhash, spans
-from .common import ship
+from . import exact, leaks, packing, private, simhash, spans, tokenfile
+from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +70,17 @@ def _reported(found: DataFrame, kinds: tuple[str, ...], n_base: int) -> DataFram
         F.sha2(F.expr(spans.listed("base", kinds)), 256).alias("base_sha256"),
         F.expr(spans.listed("concat(base, extra)", kinds)).alias("spans"),
     )
+
+
+@query
+def op6_token_file(spark, sf, vocab: str = public_tokenizers.path("byte_bpe_50k.json")):
+    docs = table(spark, sf, "documents")
+    path = shared_folder(spark, "tokens")
+    tokenfile.write_tokens(docs, path, vocab)
+    found = tokenfile.read_tokens(spark, path)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_best_fit_packing(spark, sf, vocab: str = public_tokenizers.path("word_bpe_49k.json")):
+    return packing.pack_documents(table(spark, sf, "documents"), vocab)
