@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, leaks, packing, private, simhash, spans, tokenfile
+from . import exact, leaks, packing, private, simhash, spans, substrings, tokenfile
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_substring_dedup(spark, sf):
+    found = substrings.substring_dedup(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op4_simhash_near_dedup(spark, sf):
     found = simhash.near_dedup(table(spark, sf, "documents"))
