@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, leaks, packing, private, simhash, spans, substrings, tokenfile
+from . import bpe, exact, leaks, packing, private, simhash, spans, substrings, tokenfile
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_byte_bpe(spark, sf, ranks: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")):
+    coded = bpe.encode(table(spark, sf, "documents"), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    counted = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids", "offsets")
+    return bpe.decode(counted, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 @query
 def op3_substring_dedup(spark, sf):
     found = substrings.substring_dedup(table(spark, sf, "documents"))
