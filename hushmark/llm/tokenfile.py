@@ -15,6 +15,7 @@ from .vocab import vocabulary
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])  # ids in a word, by selector
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 0  # the payload is the place of the id in the block's list of raw 64-bit ids
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 STRETCH = 128  # words between two entries of the offset list
 BLOCK = 65536  # ids, at least, before a block is closed
 
@@ -26,7 +27,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), ids
     width = np.zeros(n + 64, np.uint8)  # zeros after the end fit any layout
-    width[:n] = np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right")
+    exact = ids < 1 << 53  # a double holds these, and its exponent is their width
+    width[:n] = np.where(exact, np.frexp(ids.astype(np.float64))[1], np.searchsorted(_POWERS, ids, side="right") if not exact.all() else 0)
     tops = {1: width}
     for c in (2, 4, 8, 16, 32):
         half = tops[c // 2]
@@ -35,12 +37,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s in range(14, 0, -1):
         c, p = int(COUNTS[s]), 1 << (int(COUNTS[s]).bit_length() - 1)
         top = tops[p]
-        choice[np.maximum(top[:n], top[c - p : c - p + n]) <= BITS[s]] = s
-    step = (np.arange(n) + COUNTS[choice]).tolist()
+        np.putmask(choice, np.maximum(top[:n], top[c - p : c - p + n]) <= BITS[s], s)
+    step = COUNTS.astype(np.uint8)[choice].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
-        i = step[i]
+        i += step[i]
     at = np.array(at)
     kind = choice[at]
     words = kind.astype(np.uint64) << np.uint64(60)

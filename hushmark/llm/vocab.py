@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -32,10 +33,11 @@ class Vocabulary:
     pre-tokenizers always cut there, so the ids of the chunks, joined, are those of the
     text. A chunk not seen before is cut into pre-tokens, and a pre-token not seen before
     goes through the library's model (letters beyond Latin go through the whole library,
-    chunk by chunk). Either cache is emptied when it is full.
+    chunk by chunk). A full cache becomes the
+    last generation, from which what occurs again is taken over, and a new one begins.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -45,8 +47,9 @@ class Vocabulary:
         self.model = self.tokenizer.model
         self.limit = limit
         self.letters = byte_letters()
-        self.chunks: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before the key
-        self.pieces: dict[str, bytes] = {}
+        # the present and the last generation, of chunks by what stands before the key
+        self.chunks: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+        self.pieces: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text, without special tokens."""
@@ -63,7 +66,7 @@ class Vocabulary:
         return self._joined([head], "") + self._joined(rest, " ")
 
     def _joined(self, cut: list[str], before: str) -> bytes:
-        known = self.chunks[before]
+        known, old = self.chunks[before]
         try:
             return b"".join([known[c] for c in cut])
         except KeyError:
@@ -73,31 +76,41 @@ class Vocabulary:
             part = cut[i : i + self.limit]
             new = {c for c in part if c not in known}
             if len(known) + len(new) > self.limit:
-                known.clear()
+                old, known = known, {}
+                self.chunks[before] = known, old
                 new = set(part)
             for c in new:
-                known[c] = self._chunk(before + c)
+                got = old.get(c)
+                known[c] = self._chunk(before + c) if got is None else got
             out.append(b"".join([known[c] for c in part]))
         return b"".join(out)
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if max(chunk) > _SIMPLE or "\u0130" in chunk:
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if not chunk.isascii() and (max(chunk) > _SIMPLE or "\u0130" in chunk):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         if self.words:
             # three regular steps of the file: composed form, lower case, words
-            parts = _WORDS.findall(unicodedata.normalize("NFC", chunk).lower())
+            if not chunk.isascii():
+                chunk = unicodedata.normalize("NFC", chunk)
+            parts = _WORDS.findall(chunk.lower())
         else:
             parts = _PIECES.findall(chunk)
-        pieces = self.pieces
-        if len(pieces) + len(parts) > self.limit:
-            pieces.clear()
+        pieces, old = self.pieces
+        out = []
         for p in parts:
-            if p not in pieces:
-                letters = p.encode().decode("latin-1").translate(self.letters)
-                pieces[p] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return b"".join([pieces[p] for p in parts])
+            ids = pieces.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    letters = p.encode().decode("latin-1").translate(self.letters)
+                    ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                pieces[p] = ids
+            out.append(ids)
+        if len(pieces) > self.limit:
+            self.pieces = {}, pieces
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 def vocabulary(path: str) -> Vocabulary:
