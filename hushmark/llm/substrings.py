@@ -111,19 +111,28 @@ def candidates(runs: DataFrame) -> DataFrame:
     third of all documents share spreads over tasks. The first and last run of a task
     stay in any case, as their like may be in the neighbour.
     """
-    keys = ["h", "doc", "k", "pos"]
+    keys, names = ["h", "doc", "k", "pos"], ["g", "doc", "k", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId() << 32, 0
+        task, n, group = TaskContext.get().partitionId() << 32, 0, 0
+        last: int | None = None
         held: list[np.ndarray] | None = None
         before: int | None = None
 
         def out(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
             nonlocal n
-            cols = [c[keep] for c in cols]
-            chunk = task + (n + np.arange(len(cols[0]))) // CHUNK
-            n += len(cols[0])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in [*cols, chunk]], [*keys, "chunk"])
+            nonlocal group, last
+            h, doc, k, pos = (c[keep] for c in cols)
+            chunk = task + (n + np.arange(len(h))) // CHUNK
+            n += len(h)
+            if len(h):
+                # a number for each hash of this task stands for it from here on
+                new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
+                ordinal = group + np.cumsum(new)
+                group, last = int(ordinal[-1]), int(h[-1])
+            else:
+                ordinal = h
+            return pa.RecordBatch.from_arrays([pa.array(ordinal.astype(np.int32)), *(pa.array(c) for c in (doc, k, pos, chunk))], [*names, "chunk"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -141,30 +150,46 @@ def candidates(runs: DataFrame) -> DataFrame:
         if held is not None:
             yield out(held, np.ones(1, bool))
 
-    return runs.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "h long, doc long, k int, pos long, chunk long")
+    return runs.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g int, doc long, k int, pos long, chunk long")
 
 
 def segments(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """The bytes of each candidate run: from its first start to the end of its last window."""
-    lists = found.groupBy("doc", "k").agg(F.collect_list(F.struct("chunk", "h", "pos")).alias("runs"))
+    """The bytes of each candidate run: from its first start to the end of its last window.
+
+    A task sends the same bytes to a chunk once; later rows refer to them by a digest.
+    """
+    lists = found.groupBy("doc", "k").agg(F.collect_list(F.struct("chunk", "g", "pos")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             data, offsets = _texts(batch.column("text"))
             runs = batch.column("runs")
             counts = np.diff(runs.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), counts)
-            chunk, h, pos = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+            chunk, g, pos = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
             first = offsets[row] + (pos >> 7)
             size = (pos & 127) + length - 1
             raw = data.tobytes()
-            segs = [raw[a : a + n] for a, n in zip(first.tolist(), size.tolist())]
+            segs, marks = [], []
+            for c, a, n in zip(chunk.tolist(), first.tolist(), size.tolist()):
+                seg: bytes | None = raw[a : a + n]
+                mark = xxhash.xxh64_intdigest(seg)
+                if (c, mark) in sent:
+                    seg = None  # this task has sent the chunk these bytes
+                else:
+                    sent.add((c, mark))
+                segs.append(seg)
+                marks.append(mark)
+            if len(sent) > 1_000_000:
+                sent.clear()
+            mark = np.array(marks, np.uint64).view(np.int64)
             for i in range(0, len(row), 50_000):
                 s = slice(i, i + 50_000)
-                cols = [pa.array(chunk[s]), pa.array(h[s]), batch.column("doc").take(pa.array(row[s])), batch.column("k").take(pa.array(row[s])), pa.array(pos[s]), pa.array(segs[s], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["chunk", "h", "doc", "k", "pos", "seg"])
+                cols = [pa.array(chunk[s]), pa.array(g[s]), batch.column("doc").take(pa.array(row[s])), batch.column("k").take(pa.array(row[s])), pa.array(pos[s]), pa.array(mark[s]), pa.array(segs[s], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["chunk", "g", "doc", "k", "pos", "mark", "seg"])
 
-    return docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "runs").mapInArrow(run, "chunk long, h long, doc long, k int, pos long, seg binary")
+    return docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "runs").mapInArrow(run, "chunk long, g int, doc long, k int, pos long, mark long, seg binary")
 
 
 class Suffixes:
@@ -288,17 +313,17 @@ def repeats(table: pa.Table, length: int) -> pa.Table:
     rows with a digest are windows that no earlier one in this chunk equals, but
     one in another chunk might.
     """
-    h, doc, k, pos = (table.column(c).to_numpy() for c in ("h", "doc", "k", "pos"))
+    h, doc, k, pos = (table.column(c).to_numpy() for c in ("g", "doc", "k", "pos"))
     order = np.lexsort((pos, k, doc, h))
     same = np.zeros(len(order), bool)
     if len(order) > 1:
         same[1:] = np.all([x[order][1:] == x[order][:-1] for x in (h, doc, k, pos)], axis=0)
     order = order[~same]  # rows that repeat an id and a text are one document
     h, doc, k, pos = (x[order] for x in (h, doc, k, pos))
-    segs = table.column("seg").to_pylist()
-    kinds: dict[bytes, int] = {}
-    kind = np.array([kinds.setdefault(segs[i], len(kinds)) for i in order.tolist()], np.int64)
-    suffixes = Suffixes(list(kinds), length)
+    marks = table.column("mark").to_numpy()
+    texts = {m: t for m, t in zip(marks.tolist(), table.column("seg").to_pylist()) if t is not None}
+    kinds, kind = np.unique(marks[order], return_inverse=True)
+    suffixes = Suffixes([texts[m] for m in kinds.tolist()], length)
     sa = suffixes.array()
     classes = np.empty(len(suffixes.data), np.int64)
     classes[sa] = np.cumsum(suffixes.common_prefixes(sa) < length)
