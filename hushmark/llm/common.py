@@ -70,11 +70,13 @@ def row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.octet_length(text), F.lit(-1))
 
 
-def only(docs: DataFrame, stays: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of ``docs`` whose ``row_key`` is in ``stays`` (``k1, k2``), one of each id and text."""
+def only(docs: DataFrame, stays: DataFrame, doc_id: str, text: str, one: bool = True) -> DataFrame:
+    """Rows of ``docs`` whose ``row_key`` is in ``stays`` (``k1, k2``); with ``one``, one row of each id and text."""
     k1, k2, nth = fresh(docs, "k1_"), fresh(docs, "k2_"), fresh(docs, "nth_")
     keyed = docs.withColumns(dict(zip((k1, k2), row_key(doc_id, text), strict=True)))
     kept = keyed.join(stays.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2], "left_semi")
+    if not one:
+        return kept.select(*docs.columns)
     ranked = kept.withColumn(nth, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1))))
     return ranked.where(F.col(nth) == 1).select(*docs.columns)
 

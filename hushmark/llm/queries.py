@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, leaks, packing, private, simhash, spans, substrings, tokenfile
+from . import bpe, exact, leaks, packing, private, quality, simhash, spans, substrings, tokenfile
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_quality_classifier(spark, sf):
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("k1", "k2")
+
+
 @query
 def op2_byte_bpe(spark, sf, ranks: str = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")):
     coded = bpe.encode(table(spark, sf, "documents"), ranks)
