@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, leaks, packing, private, quality, simhash, spans, substrings, tokenfile
+from . import bpe, exact, leaks, packing, private, quality, simhash, spans, substrings, tokenfile, vectors
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,11 @@ def _reported(found: DataFrame, kinds: tuple[str, ...], n_base: int) -> DataFram
     )
 
 
+@query
+def op5_embedding_dedup(spark, sf):
+    return vectors.vector_dedup(table(spark, sf, "embeddings"))
+
+
 @query
 def op6_token_file(spark, sf, vocab: str = public_tokenizers.path("byte_bpe_50k.json")):
     docs = table(spark, sf, "documents")
