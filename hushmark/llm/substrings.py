@@ -357,7 +357,7 @@ def repeats(table: pa.Table, length: int) -> pa.Table:
             "k": np.concatenate([k[r], k[ro]]),
             "a": np.concatenate([a, start[open_]]),
             "b": np.concatenate([b, start[open_] + length]),
-            "w1": np.concatenate([a * 0x9E3779B1 + doc[r], w1]),  # any spread of rows that nothing has to meet
+            "w1": pa.chunked_array([pa.nulls(len(r), pa.int64()), pa.array(w1)]),
             "w2": pa.chunked_array([pa.nulls(len(r), pa.int64()), pa.array(w2)]),
         }
     )
@@ -366,13 +366,12 @@ def repeats(table: pa.Table, length: int) -> pa.Table:
 def removed_ranges(segs: DataFrame, length: int) -> DataFrame:
     """``doc, k, a, b``: ranges of bytes covered by windows that start earlier, still overlapping."""
     schema = "doc long, k int, a long, b long, w1 long, w2 long"
-    rows = segs.groupBy("chunk").applyInArrow(lambda t: repeats(t, length), schema)
+    rows = written(segs.groupBy("chunk").applyInArrow(lambda t: repeats(t, length), schema), "ranges")
     # a window meets its like of other chunks once per chunk, so these groups stay small
-    lone = F.when(F.col("w2").isNull(), F.xxhash64("doc", "k", "a"))
     place = F.struct("doc", "k", "a", "b")
-    groups = rows.groupBy("w1", "w2", lone.alias("lone")).agg(F.collect_list(place).alias("all"), F.min(place).alias("first"))
-    again = groups.select("w2", "first", F.explode("all").alias("p")).where("w2 IS NULL OR p != first")
-    return again.select("p.*")
+    groups = rows.where("w2 IS NOT NULL").groupBy("w1", "w2").agg(F.collect_list(place).alias("all"), F.min(place).alias("first"))
+    again = groups.where("size(all) > 1").select("first", F.explode("all").alias("p")).where("p != first")
+    return rows.where("w2 IS NULL").select("doc", "k", "a", "b").unionByName(again.select("p.*"))
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -396,9 +395,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.hash(text).alias("k"),
         F.col(text).alias("text"),
     )
-    runs = written(anchors(keyed, length), "anchors")
-    ranges = removed_ranges(segments(keyed, candidates(runs), length), length)
-    lists = ranges.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = removed_ranges(segments(keyed, candidates(anchors(keyed, length)), length), length)
+    # a range is shorter than 2^9: one number holds its start and its size
+    lists = ranges.groupBy("doc", "k").agg(F.collect_list(F.expr("shiftleft(a, 9) | (b - a)")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -408,8 +407,9 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for i, ranges in enumerate(batch.column("ranges")):
                 one = data[offsets[i] : offsets[i + 1]]
                 merged: list[dict] = []
-                pairs = ranges.values.flatten() if ranges.is_valid else []
-                for a, b in sorted(zip(*(x.to_pylist() for x in pairs))):
+                for packed in sorted(ranges.values.to_pylist() if ranges.is_valid else []):
+                    a = packed >> 9
+                    b = a + (packed & 511)
                     if merged and a <= merged[-1]["end"]:
                         merged[-1]["end"] = max(b, merged[-1]["end"])
                     else:
