@@ -366,7 +366,7 @@ def repeats(table: pa.Table, length: int) -> pa.Table:
 def removed_ranges(segs: DataFrame, length: int) -> DataFrame:
     """``doc, k, a, b``: ranges of bytes covered by windows that start earlier, still overlapping."""
     schema = "doc long, k int, a long, b long, w1 long, w2 long"
-    rows = written(segs.groupBy("chunk").applyInArrow(lambda t: repeats(t, length), schema), "ranges")
+    rows = written(segs.groupBy("chunk").applyInArrow(lambda t: repeats(t, length), schema), "ranges", clear=True)
     # a window meets its like of other chunks once per chunk, so these groups stay small
     place = F.struct("doc", "k", "a", "b")
     groups = rows.where("w2 IS NOT NULL").groupBy("w1", "w2").agg(F.collect_list(place).alias("all"), F.min(place).alias("first"))
@@ -386,7 +386,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Every window belongs to the gram of least hash in it. Runs of windows whose gram
     occurs again are brought together in order, ``CHUNK`` at a time, and their suffix array
     tells equal windows apart. All steps work on ranges of rows, never on all rows of a
-    passage, and the texts are shuffled once, for the cutting out and the putting back.
+    passage. The texts are shuffled twice, for the cutting out and the putting back; the files of
+    a finished shuffle go before the next step begins.
     """
     if not GRAM <= length <= GRAM + 126:
         raise ValueError("a run of starts must fit 7 bits")
@@ -395,7 +396,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.hash(text).alias("k"),
         F.col(text).alias("text"),
     )
-    ranges = removed_ranges(segments(keyed, candidates(anchors(keyed, length)), length), length)
+    found = written(candidates(anchors(keyed, length)), "candidates", clear=True)
+    ranges = removed_ranges(segments(keyed, found, length), length)
     # a range is shorter than 2^9: one number holds its start and its size
     lists = ranges.groupBy("doc", "k").agg(F.collect_list(F.expr("shiftleft(a, 9) | (b - a)")).alias("ranges"))
 

@@ -3,6 +3,8 @@
 import re
 from hashlib import sha256
 
+from xxhash import xxh64_intdigest
+
 
 def spans_of(text, pattern, kind, ok):
     return [(m.start(), kind, m.end()) for m in re.finditer(pattern, text or "") if ok(m)]
@@ -35,3 +37,49 @@ def personal(text):
 
 def digest(found, names):
     return sha256(listed(found, names).encode()).hexdigest()
+
+
+def fingerprint(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    ones = [0] * 64
+    for s in shingles:
+        h = xxh64_intdigest(s.encode(), 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def smallest(ids, links):
+    """The smallest id reachable from each id."""
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def substrings(rows, length=100):
+    """``n_bytes, n_removed, n_spans, digest`` of each document."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - length + 1):
+            w = raw[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(x for x, g in zip(raw, gone) if not g)
+        spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
+        out[i] = (len(raw), len(raw) - len(kept), spans, sha256(kept).hexdigest())
+    return out
