@@ -42,8 +42,9 @@ def test_bpe_matches_tiktoken_and_decodes(shipped, odd_texts):
     docs = shipped.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = {i: model.encode_ordinary(t or "") for i, t in rows}
     coded = bpe.encode(docs, RANKS)
-    for r in bpe.decode(coded, RANKS).collect():
+    for r in coded.collect():
         assert list(r.ids) == want[r.doc_id], rows[r.doc_id]
+    for r in bpe.decode(coded, RANKS).collect():
         assert bytes(r.bytes) == (rows[r.doc_id][1] or "").encode()
 
 
