@@ -67,23 +67,33 @@ class Vocabulary:
 
     def _joined(self, cut: list[str], before: str) -> bytes:
         known, old = self.chunks[before]
-        try:
-            return b"".join([known[c] for c in cut])
-        except KeyError:
-            pass
         out = []
         for i in range(0, len(cut), self.limit):  # a text of more chunks than the cache holds stays whole
-            part = cut[i : i + self.limit]
-            new = {c for c in part if c not in known}
-            if len(known) + len(new) > self.limit:
-                old, known = known, {}
-                self.chunks[before] = known, old
-                new = set(part)
-            for c in new:
-                got = old.get(c)
-                known[c] = self._chunk(before + c) if got is None else got
-            out.append(b"".join([known[c] for c in part]))
-        return b"".join(out)
+            part = cut[i : i + self.limit] if len(cut) > self.limit else cut
+            new = set(part).difference(known)
+            if new:
+                if len(known) + len(new) > self.limit:
+                    old, known = known, {}
+                    self.chunks[before] = known, old
+                    new = set(part)
+                self._learn(new, before, known, old)
+            out.append(b"".join(map(known.__getitem__, part)))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _learn(self, chunks: set[str], before: str, known: dict[str, bytes], old: dict[str, bytes]) -> None:
+        """Ids of chunks not seen before. A word, or a word and one mark, needs no pattern."""
+        for c in chunks:
+            ids = old.get(c)
+            if ids is None:
+                if not c.isascii() and (self.words or max(c) > _SIMPLE):
+                    ids = self._chunk(before + c)
+                elif c.isalpha():
+                    ids = self._piece(c.lower() if self.words else before + c)
+                elif c[:-1].isalpha() and c[-1] in ".,;:!?":
+                    ids = self._piece(c[:-1].lower() if self.words else before + c[:-1]) + self._piece(c[-1])
+                else:
+                    ids = self._chunk(before + c)
+            known[c] = ids
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
@@ -97,20 +107,21 @@ class Vocabulary:
             parts = _WORDS.findall(chunk.lower())
         else:
             parts = _PIECES.findall(chunk)
+        return b"".join(map(self._piece, parts))
+
+    def _piece(self, piece: str) -> bytes:
         pieces, old = self.pieces
-        out = []
-        for p in parts:
-            ids = pieces.get(p)
+        ids = pieces.get(piece)
+        if ids is None:
+            ids = old.get(piece)
             if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    letters = p.encode().decode("latin-1").translate(self.letters)
-                    ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                pieces[p] = ids
-            out.append(ids)
-        if len(pieces) > self.limit:
-            self.pieces = {}, pieces
-        return out[0] if len(out) == 1 else b"".join(out)
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(pieces) >= self.limit:
+                pieces = {}
+                self.pieces = pieces, self.pieces[0]
+            pieces[piece] = ids
+        return ids
 
 
 def vocabulary(path: str) -> Vocabulary:
