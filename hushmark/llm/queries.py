@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, leaks, packing, private, quality, simhash, spans, substrings, tokenfile, vectors
+from . import bpe, exact, leaks, packing, private, quality, ranked, simhash, spans, substrings, tokenfile, vectors
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,34 @@ def op6_token_file(spark, sf, vocab: str = public_tokenizers.path("byte_bpe_50k.
 @query
 def op9_best_fit_packing(spark, sf, vocab: str = public_tokenizers.path("word_bpe_49k.json")):
     return packing.pack_documents(table(spark, sf, "documents"), vocab)
+
+
+@query
+def op11_ranked_search(spark, sf):
+    return ranked.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+t AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM t JOIN w USING (term) JOIN q USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
