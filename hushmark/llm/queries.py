@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, leaks, packing, private, quality, ranked, simhash, spans, substrings, tokenfile, vectors
+from . import bpe, exact, leaks, packing, private, quality, ranked, sharding, simhash, spans, substrings, tokenfile, vectors
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,11 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM scored WHERE score > 0
 QUALIFY rank <= 10
 """
+
+
+@query
+def op12_histogram_shards(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    sharded = sharding.shard_documents(docs)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return sharded.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
