@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, leaks, packing, private, quality, ranked, sharding, simhash, spans, substrings, tokenfile, vectors
+from . import bpe, exact, leaks, packing, prefixes, private, quality, ranked, sharding, simhash, spans, substrings, tokenfile, vectors
 from .common import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,45 @@ def op12_histogram_shards(spark, sf):
     sharded = sharding.shard_documents(docs)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return sharded.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_conversation_trie(spark, sf):
+    return prefixes.conversation_trie(table(spark, sf, "conversations")).drop("key")
+
+
+ORACLE["op13_conversation_trie"] = r"""
+WITH RECURSIVE step(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY i) AS tbl FROM step WHERE k = 8),
+ids AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::VARCHAR) + 1), lambda j: ascii(substr(c::VARCHAR, j, 1))::BIGINT)),
+                            lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), tbl),
+own AS (
+  SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said, bytes) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+built AS (
+  SELECT ids.c, 0 AS part, pos, said, bytes FROM ids JOIN own ON own.c = ids.c - ids.c % 5 WHERE pos < h
+  UNION ALL SELECT c, 1, pos, said, bytes FROM ids JOIN own USING (c) WHERE pos >= h),
+path AS (
+  SELECT c, bytes, row_number() OVER w AS depth, string_agg(said, '') OVER w AS key
+  FROM built WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+node AS (
+  SELECT key, any_value(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         CASE WHEN key <> '' THEN left(key, length(key) - 64) END AS parent
+  FROM path GROUP BY key),
+child AS (SELECT parent AS key, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY 1),
+below AS (
+  SELECT left(key, 64 * d) AS key, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+  FROM (SELECT node.*, n_children, unnest(range(0, depth + 1)) AS d FROM node LEFT JOIN child USING (key)) GROUP BY 1),
+ends AS (
+  SELECT key, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha
+  FROM (SELECT c, arg_max(key, depth) AS key FROM path GROUP BY c) GROUP BY key)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+       coalesce(sha, sha256('')) AS ends_sha256
+FROM node LEFT JOIN node up ON up.key = node.parent LEFT JOIN child ON child.key = node.key JOIN below ON below.key = node.key LEFT JOIN ends ON ends.key = node.key
+"""
