@@ -1,4 +1,4 @@
-"""JSON columns: leaves of any depth, and redaction that keeps types."""
+"""JSON columns: leaves of any depth, redaction in place, and redaction of typed columns."""
 
 from __future__ import annotations
 
@@ -6,88 +6,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import keys, pseudonym
+from ..functions import jsontext, keys, pseudonym, tokens
 from ..functions.sqltext import fresh, let, lit
 from ..options import Options
 from ..plans import scan
 
-_ITEM = "STRUCT<path: STRING, parent: STRING, name: STRING, type: STRING, v: VARIANT>"
+_TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED = (f"hush_{c}" for c in ("text", "items", "named", "parts", "scanned"))
 
 
-def _typed(path: str, parent: str, name: str, v: str) -> str:
-    kind = (
-        f"CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN 'null'"
-        f" WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN 'object'"
-        f" WHEN startswith(schema_of_variant({v}), 'ARRAY') THEN 'array'"
-        f" WHEN schema_of_variant({v}) = 'STRING' THEN 'string'"
-        f" WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
-    )
-    return f"named_struct('path', {path}, 'parent', {parent}, 'name', {name}, 'type', {kind}, 'v', {v})"
-
-
-def leaf_array(text: str) -> str:
-    """ARRAY of all leaves of a JSON object text; NULL when it is no JSON object.
+def leaves(df: DataFrame, column: str) -> DataFrame:
+    """``path, steps, parent, name, type, value`` of every leaf of a JSON text column.
 
-    Containers are opened round by round; a text cannot nest deeper than it has
-    opening brackets, so no depth is cut off.
+    ``steps`` is the path as an array of keys and places, ``path`` the same as text. A key that an object
+    repeats gives a leaf each time. Texts that are no JSON object have no leaves.
     """
-    fields = (
-        f"transform(map_entries(CAST(x.v AS MAP<STRING, VARIANT>)), e -> "
-        + _typed("concat(x.path, '.', e.key)", "x.path", "e.key", "e.value")
-        + ")"
-    )
-    cells = (
-        f"transform(CAST(x.v AS ARRAY<VARIANT>), (e, i) -> "
-        + _typed("concat(x.path, '[', i, ']')", "x.path", "CAST(NULL AS STRING)", "e")
-        + ")"
-    )
-    opened = f"CASE x.type WHEN 'object' THEN {fields} WHEN 'array' THEN {cells} ELSE array(x) END"
-    depth = f"octet_length({text}) - octet_length(translate({text}, '[{{', ''))"
-    root = _typed("'$'", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", f"try_parse_json({text})")
-    loop = (
-        f"aggregate(sequence(1, {depth}), CAST(array({root}) AS ARRAY<{_ITEM}>), (items, r) ->"
-        f" CASE WHEN exists(items, y -> y.type IN ('object', 'array')) THEN flatten(transform(items, x -> {opened})) ELSE items END)"
-    )
-    return (
-        f"CASE WHEN startswith(schema_of_variant(try_parse_json({text})), 'OBJECT') THEN {loop} END"
-    )
-
-
-def leaves(df: DataFrame, column: str) -> DataFrame:
-    """``path, parent, name, type, value`` of every leaf of a JSON text column."""
     others = [c for c in df.columns if c != column]
-    rows = df.select(*others, F.explode(F.expr(leaf_array(column))).alias("l"))
-    value = F.expr("CASE WHEN l.type = 'string' THEN CAST(l.v AS STRING) WHEN l.type <> 'null' THEN to_json(l.v) END")
-    return rows.select(
-        *others, "l.path", "l.parent", "l.name", "l.type", value.alias("value")
+    found = let(jsontext.items(column), lambda its: f"filter({its}, y -> {jsontext.is_value('y')})")
+    rows = df.select(*others, F.explode(F.expr(found)).alias("l"))
+    return rows.select(*others, *_described())
+
+
+def _described() -> list:
+    parent = "slice(l.st, 1, size(l.st) - 1)"
+    return [
+        F.expr(jsontext.rendered("l.st")).alias("path"),
+        F.expr(jsontext.steps("l.st")).alias("steps"),
+        F.expr(jsontext.rendered(parent)).alias("parent"),
+        F.expr(jsontext.name("l")).alias("name"),
+        F.expr(jsontext.type_name("l")).alias("type"),
+        F.expr(jsontext.value("l")).alias("value"),
+    ]
+
+
+def _named_secrets(its: str, options: Options) -> str:
+    """ARRAY of the objects that say ``"key": "<a sensitive key>"``: number and that key."""
+    said = f"filter({its}, y -> y.c = 's' AND {jsontext.is_value('y')} AND coalesce({jsontext.name('y')} = 'key', false))"
+    read = f"transform({said}, y -> named_struct('id', y.id, 'key', {jsontext.decoded('y.t')}))"
+    return f"filter({read}, g -> {keys.is_sensitive_key('g.key', options)})"
+
+
+def _is_secret(y: str, named: str, options: Options) -> str:
+    """The value's own key is sensitive, or it is the value that a ``"key"`` beside it names."""
+    return let(
+        jsontext.name(y),
+        lambda k: f"CASE WHEN {k} IS NULL THEN false ELSE {keys.is_sensitive_key(k, options)}"
+        f" OR {k} = 'value' AND exists({named}, g -> g.id = {y}.id) END",
     )
 
 
 def redact_leaves(df: DataFrame, column: str, options: Options) -> DataFrame:
-    """Leaves with ``masked``: sensitive keys and the value of a generic pair hash
+    """Leaves with ``secret`` and ``masked``: sensitive keys and the value of a generic pair hash
     strings and zero numbers; other strings are scanned as lines, other numbers
-    are judged as one token. Container elements of an array carry no key."""
+    are judged as one token. Container elements of an array carry no key.
+
+    A text that is no JSON object is one row of type ``line`` without a path, scanned as a line."""
     others = [c for c in df.columns if c != column]
-    pair = (
-        "transform(filter(ls, y -> y.name = 'key' AND y.type = 'string'),"
-        " y -> named_struct('parent', y.parent, 'key', CAST(y.v AS STRING)))"
+    line = "array(CAST(named_struct('t', {t}, 'c', 'L', 'id', CAST(NULL AS INT), 'st', NULL) AS {kind}))"
+    line = line.format(t=column, kind=jsontext.ITEM)
+    flagged = let(
+        jsontext.items(column),
+        lambda its: f"CASE WHEN {its} IS NULL THEN transform({line}, y -> named_struct('y', y, 'secret', false)) ELSE "
+        + let(
+            _named_secrets(its, options),
+            lambda g: f"transform(filter({its}, y -> {jsontext.is_value('y')}), y -> named_struct('y', y, 'secret', {_is_secret('y', g, options)}))",
+        )
+        + " END",
     )
-    named = f"filter({pair}, g -> {keys.is_sensitive_key('g.key', options)})"
-    generic = f"transform({named}, g -> g.parent)"
-    staged = df.withColumn("ls", F.expr(leaf_array(column))).withColumn("gp", F.expr(generic))
-    rows = staged.select(*others, "gp", F.explode("ls").alias("l")).select(
-        *others,
-        "l.path",
-        "l.parent",
-        "l.name",
-        "l.type",
-        F.expr("CASE WHEN l.type = 'string' THEN CAST(l.v AS STRING) WHEN l.type <> 'null' THEN to_json(l.v) END").alias("value"),
-        F.expr("l.name = 'value' AND array_contains(gp, l.parent)").alias("paired"),
+    rows = df.select(*others, F.explode(F.expr(flagged)).alias("f")).select(*others, F.col("f.y").alias("l"), F.col("f.secret").alias("secret"))
+    is_line = F.col("l.c") == "L"
+    described = [F.when(~is_line, c).alias(n) for c, n in zip(_described(), ("path", "steps", "parent", "name"), strict=False)]
+    kind = F.when(is_line, "line").otherwise(F.expr(jsontext.type_name("l"))).alias("type")
+    text = F.when(is_line, F.col("l.t")).otherwise(F.expr(jsontext.value("l"))).alias("value")
+    return _mask(rows.select(*others, *described, kind, text, "secret"), options)
+
+
+def redact_json(df: DataFrame, column: str, options: Options, out: str = "redacted") -> DataFrame:
+    """Add the redacted form of a JSON text column: objects in place, other texts as lines. Map-only, batch or streaming.
+
+    Only the tokens of hidden values change. Everything else, order, repeated keys, blanks and the spelling of
+    numbers, stays as written, so the result parses wherever the text did. Null stays null, an empty text empty.
+    """
+    whole = f"array(CAST(named_struct('t', {_TEXT}, 'c', 'L', 'id', CAST(NULL AS INT), 'st', NULL) AS {jsontext.ITEM}))"
+    judged = f"y.c IN ('s', 'n') AND {_is_secret('y', _NAMED, options)}"
+    content = f"CASE y.c WHEN 'L' THEN y.t WHEN 's' THEN {jsontext.decoded('y.t')} END"
+    part = f"named_struct('t', y.t, 'c', y.c, 'secret', {judged}, 'content', {content})"
+    number = f"CASE WHEN x.secret OR {number_hidden('x.t', options)} THEN '0' ELSE x.t END"
+    put = (
+        f"CASE WHEN x.c = 'n' THEN {number} WHEN x.c = 's' AND x.secret THEN concat('\"', {pseudonym.placeholder('x.content')}, '\"')"
+        f" WHEN r IS NULL THEN x.t WHEN x.c = 'L' THEN r WHEN r = x.content THEN x.t ELSE {jsontext.encoded('r')} END"
     )
-    rows = rows.withColumn(
-        "secret", F.expr(f"coalesce(paired, false) OR CASE WHEN name IS NULL THEN false ELSE {keys.is_sensitive_key('name', options)} END")
-    ).drop("paired")
-    return _mask(rows, options)
+    # step by step, in columns: one expression would nest deeper than the analyser follows
+    steps = {
+        _TEXT: tokens.repair(f"`{column}`"),
+        _ITEMS: f"coalesce({jsontext.items(_TEXT)}, {whole})",
+        _NAMED: _named_secrets(_ITEMS, options),
+        _PARTS: f"transform({_ITEMS}, y -> {part})",
+        _SCANNED: f"transform({_PARTS}, x -> CASE WHEN x.content IS NOT NULL AND NOT x.secret THEN {scan.redact('x.content', options)} END)",
+        out: f"CASE WHEN {_TEXT} IS NOT NULL THEN array_join(zip_with({_PARTS}, {_SCANNED}, (x, r) -> {put}), '') END",
+    }
+    keyed = pseudonym.with_key(df, options)
+    for name, expression in steps.items():
+        keyed = keyed.withColumn(name, F.expr(expression))
+    return pseudonym.without_key(keyed).drop(_TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED)
 
 
 def number_hidden(value: str, options: Options) -> str:
@@ -99,7 +119,7 @@ def number_hidden(value: str, options: Options) -> str:
 def _mask(rows: DataFrame, options: Options) -> DataFrame:
     masked = (
         f"CASE WHEN type = 'string' AND secret THEN {pseudonym.placeholder('value')}"
-        f" WHEN type = 'string' THEN {scan.redact('value', options)}"
+        f" WHEN type IN ('string', 'line') THEN {scan.redact('value', options)}"
         f" WHEN type = 'number' AND (secret OR {number_hidden('value', options)}) THEN '0'"
         " ELSE value END"
     )
@@ -108,14 +128,25 @@ def _mask(rows: DataFrame, options: Options) -> DataFrame:
 
 
 def generic_pairs(df: DataFrame, column: str, options: Options) -> DataFrame:
-    """``{"key": …, "value": …}`` objects whose key names a secret: ``parent, key, value_path``."""
+    """``{"key": …, "value": …}`` objects whose key names a secret: ``parent, key, value_path`` of each such value.
+
+    Where an object repeats ``key``, its first sensitive one counts. Found inside each row: nothing is grouped.
+    """
     others = [c for c in df.columns if c != column]
-    rows = leaves(df, column).where("name IN ('key', 'value')")
-    grouped = rows.groupBy(*others, "parent").agg(
-        F.max(F.expr("CASE WHEN name = 'key' AND type = 'string' THEN value END")).alias("key"),
-        F.max(F.expr("CASE WHEN name = 'value' THEN path END")).alias("value_path"),
+    values = f"coalesce({jsontext.name('y')} = 'value', false) AND y.c IN ('s', 'n', 'l', 'z')"
+    found = let(
+        jsontext.items(column),
+        lambda its: let(
+            _named_secrets(its, options),
+            lambda g: f"transform(filter({its}, y -> {jsontext.is_value('y')} AND {values} AND exists({g}, h -> h.id = y.id)),"
+            f" y -> named_struct('y', y, 'key', filter({g}, h -> h.id = y.id)[0].key))",
+        ),
+    )
+    rows = df.select(*others, F.explode(F.expr(found)).alias("f"))
+    parent = "slice(f.y.st, 1, size(f.y.st) - 1)"
+    return rows.select(
+        *others, F.expr(jsontext.rendered(parent)).alias("parent"), F.col("f.key").alias("key"), F.expr(jsontext.rendered("f.y.st")).alias("value_path")
     )
-    return grouped.where("key IS NOT NULL AND value_path IS NOT NULL").where(F.expr(keys.is_sensitive_key("key", options)))
 
 
 def redact_struct(df: DataFrame, column: str, options: Options) -> DataFrame:
@@ -136,7 +167,6 @@ def redact_struct(df: DataFrame, column: str, options: Options) -> DataFrame:
     return pseudonym.without_key(keyed.withColumn(column, F.expr(walked))).drop(_SCANNED)
 
 
-_SCANNED = "hush_scanned"
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 

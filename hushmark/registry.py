@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .functions import keys, pairs, pseudonym, scores, tokens
+from .functions import jsontext, keys, pairs, pseudonym, scores, tokens
 from .operators import baseline, evaluate, jsonleaf, numbers, redaction, state, urls, vocabulary
 from .options import Options, Rule
 from .sources import derived, folders, lines
@@ -512,14 +512,40 @@ def order_json(spark, sf):
     return log_lines(spark, sf).where("startswith(line, '{')").select("line_id", "line")
 
 
+def tagged_events(spark, sf):
+    """Event properties inside an object that names the user, as a tracker sends them."""
+    login = "concat('{\"event\":\"', event_type, '\", \"user\": {\"id\": ', user_id, ', \"session_token\": \"', sha2(CAST(event_id AS STRING), 256), '\"}, \"props\" : ', props, '}')"
+    return table(spark, sf, "events").selectExpr("event_id", f"{login} AS props")
+
+
 @query
 def jsn1_events(spark, sf):
-    return jsonleaf.leaves(table(spark, sf, "events").select("event_id", "props"), "props").drop("parent", "name")
+    return jsonleaf.leaves(table(spark, sf, "events").select("event_id", "props"), "props").drop("parent", "name", "steps")
 
 
 @query
 def jsn1_logs(spark, sf):
-    return jsonleaf.leaves(order_json(spark, sf), "line").drop("parent", "name")
+    return jsonleaf.leaves(order_json(spark, sf), "line").drop("parent", "name", "steps")
+
+
+@query
+def jsn1_steps(spark, sf):
+    """How often each path occurs, paths as arrays of steps."""
+    found = jsonleaf.leaves(order_json(spark, sf), "line")
+    return found.groupBy(F.to_json("steps").alias("steps"), "type").agg(F.count("*").alias("n"))
+
+
+@query
+def jsn1_encoded(spark, sf):
+    """All log lines: JSON objects redacted in place, other lines scanned as lines."""
+    done = jsonleaf.redact_json(log_lines(spark, sf), "line", OPTIONS, "encoded")
+    return done.select("line_id", "encoded", F.expr(f"{jsontext.items('encoded')} IS NOT NULL").alias("parses"))
+
+
+@query
+def jsn1_events_encoded(spark, sf):
+    """Event properties, with the user and a login added to them, redacted in place."""
+    return jsonleaf.redact_json(tagged_events(spark, sf), "props", OPTIONS, "encoded").drop("props")
 
 
 @query

@@ -209,7 +209,7 @@ ORACLE["red7_orders"] = (
 # --- JSON
 def _json(src: str, key: str, col: str) -> str:
     return (
-        f"tree AS MATERIALIZED (SELECT d.{key}, t.fullkey AS path, CASE WHEN NOT ends_with(t.fullkey, ']') THEN t.key END AS name, t.path AS parent,"
+        f"tree AS MATERIALIZED (SELECT d.{key}, t.id, t.fullkey AS path, CASE WHEN NOT ends_with(t.fullkey, ']') THEN t.key END AS name, t.path AS parent,"
         " CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type, t.atom ->> '$' AS value"
         f" FROM {src} d, json_tree(d.{col}) t WHERE t.type NOT IN ('OBJECT', 'ARRAY'))"
     )
@@ -223,12 +223,12 @@ _JPAIR = _JLOG + f""", duo AS (SELECT line_id, parent, max(CASE WHEN name = 'key
 ORACLE["jsn4_logs"] = _JPAIR + f" SELECT line_id, parent, key, value_path FROM duo WHERE key IS NOT NULL AND value_path IS NOT NULL AND {duck.sensitive('key')}"
 
 
-# Leaves masked: their strings are scanned as lines of their own.
-def _json_masked() -> str:
-    pre = _JPAIR.removeprefix("WITH ") + f""", pairs AS (SELECT line_id, parent FROM duo WHERE key IS NOT NULL AND value_path IS NOT NULL AND {duck.sensitive('key')}),
+# Leaves masked: their strings are scanned as lines of their own, and so are the texts of ``plain``.
+def _json_masked(pre: str = _JPAIR, key: str = "line_id", plain: str = "") -> str:
+    pre = pre.removeprefix("WITH ") + f""", pairs AS (SELECT {key}, parent FROM duo WHERE key IS NOT NULL AND value_path IS NOT NULL AND {duck.sensitive('key')}),
 jleaf AS MATERIALIZED (SELECT row_number() OVER () AS rid, tree.*, (name IS NOT NULL AND {duck.sensitive('name')}) OR (name = 'value' AND pairs.parent IS NOT NULL) AS secret
-  FROM tree LEFT JOIN pairs ON tree.line_id = pairs.line_id AND tree.parent = pairs.parent)"""
-    scan = duck.leaf_ctes("SELECT rid AS line_id, value AS line FROM jleaf WHERE type = 'string'", OPTIONS).removeprefix("WITH ")
+  FROM tree LEFT JOIN pairs ON tree.{key} = pairs.{key} AND tree.parent = pairs.parent)"""
+    scan = duck.leaf_ctes(f"SELECT rid AS line_id, value AS line FROM jleaf WHERE type = 'string'{plain}", OPTIONS).removeprefix("WITH ")
     number = f"strlen(value) >= 6 AND NOT {duck.is_safe('value')} AND {duck.score('value')} > 3.6 + 1e-9"
     return (
         f"WITH {pre}, {scan}, jmask AS (SELECT jleaf.*, CASE WHEN type = 'string' AND secret THEN {duck.mark('value', OPTIONS)} WHEN type = 'string' THEN done.redacted"
@@ -236,6 +236,33 @@ jleaf AS MATERIALIZED (SELECT row_number() OVER () AS rid, tree.*, (name IS NOT
     )
 
 
+# A text taken apart at its own tokens: the n-th token that is a value belongs to the n-th leaf of the tree.
+_JTOKEN = r"""(?s)[ \t\n\r]+|"(?:[^"\\]|\\.)*"|[0-9A-Za-z.+-]+|."""
+
+
+def _json_encoded(src: str, key: str, col: str) -> str:
+    return f""",
+toks AS MATERIALIZED (SELECT d.{key}, t.i, t.tok FROM {src} d, unnest(regexp_extract_all(d.{col}, {s(_JTOKEN)})) WITH ORDINALITY t(tok, i)),
+valued AS (SELECT {key}, i, row_number() OVER (PARTITION BY {key} ORDER BY i) AS nth FROM (
+  SELECT *, lead(tok) OVER (PARTITION BY {key} ORDER BY i) AS following FROM toks WHERE trim(tok, chr(10) || chr(13) || chr(9) || ' ') <> '')
+  WHERE regexp_matches(tok, '\\A[0-9A-Za-z-]') OR (starts_with(tok, '"') AND coalesce(following, '') <> ':')),
+leafed AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY id) AS nth FROM jmask),
+encoded AS (SELECT toks.{key}, string_agg(CASE WHEN masked IS NULL OR masked = value THEN tok WHEN type = 'string' THEN to_json(masked)::VARCHAR ELSE masked END, '' ORDER BY toks.i) AS encoded
+  FROM toks LEFT JOIN valued ON toks.{key} = valued.{key} AND toks.i = valued.i LEFT JOIN leafed ON leafed.{key} = valued.{key} AND leafed.nth = valued.nth GROUP BY 1)"""
+
+
+ORACLE["jsn1_steps"] = _JLOG + r""" SELECT '["' || array_to_string(list_filter(string_split(regexp_replace(substr(path, 2), '\[([0-9]+)\]', '.\1', 'g'), '.'), lambda x: x <> ''), '","') || '"]' AS steps,
+  type, count(*) AS n FROM tree GROUP BY ALL"""
+ORACLE["jsn1_encoded"] = (
+    _json_masked(plain=" UNION ALL SELECT -1 - line_id, line FROM logs WHERE NOT starts_with(line, '{')") + _json_encoded("jl", "line_id", "line")
+    + " SELECT line_id, encoded, starts_with(encoded, '{') AND json_valid(encoded) AS parses FROM (SELECT * FROM encoded UNION ALL SELECT -1 - line_id, redacted FROM done WHERE line_id < 0)"
+)
+_TAGGED = (
+    "tagged AS MATERIALIZED (SELECT event_id, '{\"event\":\"' || event_type || '\", \"user\": {\"id\": ' || user_id || ', \"session_token\": \"' || sha256(event_id::VARCHAR) || '\"}, \"props\" : ' || props || '}' AS props FROM events)"
+)
+_TAGGED_PAIR = f"""WITH {_TAGGED}, {_json('tagged', 'event_id', 'props')}, duo AS (SELECT event_id, parent, max(CASE WHEN name = 'key' AND type = 'string' THEN value END) AS key,
+  max(CASE WHEN name = 'value' THEN path END) AS value_path FROM tree WHERE name IN ('key', 'value') GROUP BY ALL)"""
+ORACLE["jsn1_events_encoded"] = _json_masked(_TAGGED_PAIR, "event_id") + _json_encoded("tagged", "event_id", "props") + " SELECT event_id, encoded FROM encoded"
 ORACLE["jsn2_logs"] = _json_masked() + " SELECT line_id, path, type, masked FROM jmask WHERE name IS NOT NULL"
 ORACLE["jsn3_logs"] = _json_masked() + " SELECT line_id, path, type, masked FROM jmask WHERE name IS NULL"
 _HIDE = lambda m: duck.mark(m, OPTIONS)

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from hushmark.registry import QUERIES
+from oracle.queries import ORACLE
 from tools.compare import normal
 
 SF = "/root/testdata/sf0.001"
@@ -22,17 +24,18 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
-    cur = duck.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    cur = duck.execute(ORACLE[name])
     want, want_cols = normal(cur.fetchall(), [d[0] for d in cur.description])
     got, got_cols = normal(df.collect(), df.columns)
     assert got_cols == want_cols
