@@ -8,6 +8,10 @@ from .sqltext import let, lit
 _LO, _HI = fixed.CARD_MIN_DIGITS, fixed.CARD_MAX_DIGITS
 LONG_RUN = rf"[0-9](?:[ -]?[0-9]){{{_LO - 1}}}"
 RUN_OR_TEXT = r"[0-9](?:[ -]?[0-9])*+|[^0-9]++"
+_STRETCH = 256  # pieces summed in one go
+CHUNK = 4096  # characters of a long line that are looked at together
+_NONE = "''"
+RUNS = "ARRAY<STRUCT<at: INT, run: STRING, start: BOOLEAN, stop: BOOLEAN>>"
 RANGES = "ARRAY<STRUCT<start: INT, stop: INT>>"
 
 
@@ -39,49 +43,80 @@ def open_boundary(near: str, far: str) -> str:
 
 
 def runs(line: str) -> str:
-    """ARRAY of (at, run): connected digits (single blanks and dashes between)
-    long enough for a card, with their 1-based place."""
-    step = (
-        "named_struct('at', acc.at + char_length(p), 'found', CASE WHEN char_length(p) >= "
-        f"{_LO} AND p RLIKE '\\\\A[0-9]' AND octet_length({digits_of('p')}) >= {_LO}"
-        " THEN concat(acc.found, array(named_struct('at', acc.at, 'run', p))) ELSE acc.found END)"
-    )
-    zero = "named_struct('at', 1, 'found', CAST(array() AS ARRAY<STRUCT<at: INT, run: STRING>>))"
-    return f"aggregate(regexp_extract_all({line}, {lit(RUN_OR_TEXT)}, 0), {zero}, (acc, p) -> {step}, acc -> acc.found)"
-
-
-def candidates(line: str, at: str, run: str) -> str:
-    """ARRAY of (start, stop, digits): every 13–19 digit window of one run whose
-    ends are free; ``stop`` is exclusive. A window can only start after a gap
-    and end before one, so there are at most a few per group."""
-    starts = (
-        f"filter(sequence(1, char_length({run})), i -> substring({run}, i, 1) BETWEEN '0' AND '9'"
-        f" AND (i = 1 OR substring({run}, i - 1, 1) NOT BETWEEN '0' AND '9')"
-        f" AND (i > 1 OR {at} = 1 OR "
-        + open_boundary(
-            f"substring({line}, {at} - 1, 1)",
-            f"CASE WHEN {at} > 2 THEN substring({line}, {at} - 2, 1) ELSE '' END",
+    """ARRAY of (at, run, start, stop): connected digits (single blanks and dashes between)
+    long enough for a card, their 1-based place, and whether a card may start and stop at their ends."""
+
+    def long_ones(ps: str) -> str:
+        # only a letter two characters away matters, and letters stand in the neighbouring piece
+        before, after = f"right({ps}[i - 1], 2)", f"left({ps}[i + 1], 2)"
+        start = f"(i = 0 OR {open_boundary(f'right({before}, 1)', f'CASE WHEN char_length({ps}[i - 1]) > 1 THEN left({before}, 1) ELSE {_NONE} END')})"
+        stop = f"(i + 1 = size({ps}) OR {open_boundary(f'left({after}, 1)', f'substring({after}, 2, 1)')})"
+        long = f"char_length({ps}[i]) >= {_LO} AND {ps}[i] RLIKE '\\\\A[0-9]' AND octet_length({digits_of(f'{ps}[i]')}) >= {_LO}"
+        # places are summed only where a run is long enough
+        return let(
+            f"filter(sequence(0, size({ps}) - 1), i -> {long})",
+            lambda ix: f"CASE WHEN size({ix}) = 0 THEN CAST(array() AS {RUNS}) ELSE "
+            + let(
+                _places(ps, 0),
+                lambda at: f"transform({ix}, i -> named_struct('at', {at}[i] + 1, 'run', {ps}[i], 'start', {start}, 'stop', {stop}))",
+            )
+            + " END",
         )
-        + "))"
+
+    return let(f"regexp_extract_all({line}, {lit(RUN_OR_TEXT)}, 0)", long_ones)
+
+
+def _places(groups: str, gap: int) -> str:
+    """ARRAY of where each piece starts, from 0, with ``gap`` characters between two: running sums, in stretches."""
+    step = f"named_struct('n', acc.n + char_length(g) + {gap}, 'b', concat(acc.b, array(acc.n)))"
+    part = f"aggregate(slice({groups}, j * {_STRETCH} + 1, {_STRETCH}), named_struct('n', o.s.n, 'b', CAST(array() AS ARRAY<INT>)), (acc, g) -> {step})"
+    return (
+        f"aggregate(sequence(0, (size({groups}) - 1) DIV {_STRETCH}),"
+        " named_struct('s', named_struct('n', 0, 'b', CAST(array() AS ARRAY<INT>)), 'd', CAST(array() AS ARRAY<ARRAY<INT>>)),"
+        f" (o, j) -> named_struct('s', {part}, 'd', concat(o.d, array(o.s.b))), o -> flatten(concat(o.d, array(o.s.b))))"
     )
-    end_free = (
-        f"(i + d = char_length({run}) AND "
-        + open_boundary(
-            f"substring({line}, {at} + char_length({run}), 1)",
-            f"substring({line}, {at} + char_length({run}) + 1, 1)",
+
+
+def candidates(run: str) -> str:
+    """ARRAY of (start, stop, digits): every 13–19 digit window of one of ``runs`` whose
+    ends are free; ``stop`` is exclusive.
+
+    A window starts with a group of digits and ends with one, and each group has a digit, so
+    from every group on at most 19 need to be looked at, however long the run is.
+    """
+    ends = "ARRAY<STRUCT<last: INT, digits: STRING>>"
+
+    def windows(r: str) -> str:
+        near = f"slice({r}.g, i, {_HI})"
+        fits = f"octet_length(d) BETWEEN {_LO} AND {_HI} AND (i + acc.n < size({r}.g) OR {run}.stop)"
+        grown = (
+            f"transform(array(concat(acc.d, x)), d -> named_struct('d', d, 'n', acc.n + 1,"
+            f" 'o', CASE WHEN {fits} THEN concat(acc.o, array(named_struct('last', i + acc.n, 'digits', d))) ELSE acc.o END))[0]"
         )
-        + f" OR i + d < char_length({run}) AND substring({run}, i + d + 1, 1) NOT BETWEEN '0' AND '9')"
-    )
-    ends = (
-        f"filter(sequence({_LO - 1}, {2 * _HI - 2}), d -> i + d <= char_length({run})"
-        f" AND substring({run}, i + d, 1) BETWEEN '0' AND '9' AND {end_free})"
-    )
-    window = (
-        f"named_struct('start', {at} + i - 1, 'stop', {at} + i + d, 'digits',"
-        f" {digits_of(f'substring({run}, i, d + 1)')})"
-    )
-    windows = f"flatten(transform({starts}, i -> transform({ends}, d -> {window})))"
-    return f"filter({windows}, w -> octet_length(w.digits) BETWEEN {_LO} AND {_HI})"
+        found = (
+            f"aggregate({near}, named_struct('d', '', 'n', 0, 'o', CAST(array() AS {ends})),"
+            f" (acc, x) -> CASE WHEN octet_length(acc.d) + octet_length(x) > {_HI} THEN named_struct('d', repeat('0', {_HI}), 'n', acc.n, 'o', acc.o) ELSE {grown} END, acc -> acc.o)"
+        )
+        starts = f"filter(sequence(1, size({r}.g)), i -> (i > 1 OR {run}.start) AND octet_length({r}.g[i - 1]) <= {_HI})"
+        window = (
+            f"named_struct('start', {run}.at + {r}.p[i - 1], 'stop', {run}.at + {r}.p[w.last - 1] + char_length({r}.g[w.last - 1]), 'digits', w.digits)"
+        )
+        return f"flatten(transform({starts}, i -> transform({found}, w -> {window})))"
+
+    groups = f"regexp_extract_all({run}.run, '[0-9]++', 0)"
+    return let(let(groups, lambda g: f"named_struct('g', {g}, 'p', {_places(g, 1)})"), windows)
+
+
+def chunks(line: str) -> str:
+    """ARRAY of the characters of a line, ``CHUNK`` at a time, for ``cut``."""
+    return f"CASE WHEN char_length({line}) <= {CHUNK} THEN array({line}) ELSE transform(sequence(0, (char_length({line}) - 1) DIV {CHUNK}), j -> substring({line}, j * {CHUNK} + 1, {CHUNK})) END"
+
+
+def cut(chunked: str, start: str, stop: str) -> str:
+    """Characters ``start`` (from 1) to ``stop`` (exclusive): a long line is not read from its beginning each time."""
+    first, last = f"(({start} - 1) DIV {CHUNK})", f"(({stop} - 2) DIV {CHUNK})"
+    near = f"CASE WHEN {first} = {last} THEN get({chunked}, {first}) ELSE array_join(slice({chunked}, {first} + 1, {last} - {first} + 1), '') END"
+    return f"CASE WHEN {stop} <= {start} THEN '' ELSE substring({near}, {start} - {first} * {CHUNK}, {stop} - {start}) END"
 
 
 def merge(ranges: str) -> str:
@@ -99,7 +134,7 @@ def merge(ranges: str) -> str:
 
 def card_ranges(line: str) -> str:
     """Merged card ranges of a line, in order; empty without a long digit run."""
-    per_run = candidates(line, "g.at", "g.run")
+    per_run = candidates("g")
     hits = (
         f"transform(filter(flatten(transform({runs(line)}, g -> {per_run})), w -> {is_card('w.digits')}),"
         " w -> named_struct('start', w.start, 'stop', w.stop))"

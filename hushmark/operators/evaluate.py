@@ -61,6 +61,13 @@ def utf8_repairs(lines: DataFrame, *by: str, column: str = "line") -> DataFrame:
     return lines.where(f"NOT is_valid_utf8({column})").select(*by, F.expr(repair(column)).alias("repaired"))
 
 
+def volume(redacted: DataFrame, *by: str) -> DataFrame:
+    """Lines and bytes before and after redaction; divided by a run's wall time this is its throughput."""
+    return redacted.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.sum(F.octet_length("line")).alias("n_bytes"), F.sum(F.octet_length("redacted")).alias("n_bytes_out")
+    )
+
+
 def throughput(lines: DataFrame, name: str = "throughput", column: str = "line"):
     """Observe rows and bytes while a job runs: (DataFrame, Observation)."""
     from pyspark.sql import Observation

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cards
+from ..functions.sqltext import let
 
 
 def candidates(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -14,10 +15,9 @@ def candidates(lines: DataFrame, column: str = "line") -> DataFrame:
     Lines without a long digit run are dropped before anything is expanded.
     """
     others = [c for c in lines.columns if c != column]
-    with_runs = lines.where(F.expr(cards.may_hold_card(column))).select(
-        *others, column, F.explode(F.expr(cards.runs(column))).alias("g")
-    )
-    windows = with_runs.select(*others, F.explode(F.expr(cards.candidates(column, "g.at", "g.run"))).alias("w"))
+    hit = lines.where(F.expr(cards.may_hold_card(column)))
+    runs = hit.select(*others, F.explode(F.expr(cards.runs(column))).alias("g"))
+    windows = runs.select(*others, F.explode(F.expr(cards.candidates("g"))).alias("w"))
     return windows.select(*others, "w.start", "w.stop", "w.digits")
 
 
@@ -35,7 +35,8 @@ def merged(lines: DataFrame, column: str = "line") -> DataFrame:
     """Final card ranges of each line."""
     others = [c for c in lines.columns if c != column]
     hit = lines.where(F.expr(cards.may_hold_card(column)))
-    rows = hit.select(*others, column, F.explode(F.expr(cards.card_ranges(column))).alias("r"))
-    return rows.select(
-        *others, "r.start", "r.stop", F.expr(f"substring({column}, r.start, r.stop - r.start)").alias("card")
+    found = let(
+        cards.chunks(column),
+        lambda ch: f"transform({cards.card_ranges(column)}, r -> named_struct('start', r.start, 'stop', r.stop, 'card', {cards.cut(ch, 'r.start', 'r.stop')}))",
     )
+    return hit.select(*others, F.explode(F.expr(found)).alias("r")).select(*others, "r.start", "r.stop", "r.card")

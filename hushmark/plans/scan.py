@@ -236,17 +236,15 @@ def _cut_cards(line: str) -> str:
     """Segments and cards of a line, in order."""
 
     def cut(r: str) -> str:
-        text = (
-            f"substring({line}, CASE WHEN i = 0 THEN 1 ELSE {r}[i - 1].stop END,"
-            f" {r}[i].start - CASE WHEN i = 0 THEN 1 ELSE {r}[i - 1].stop END)"
-        )
-        card = f"substring({line}, {r}[i].start, {r}[i].stop - {r}[i].start)"
-        each = f"array({leaf(SEGMENT, c=text)}, {leaf(CARD, c=card)})"
-        tail = leaf(SEGMENT, c=f"substring({line}, {r}[size({r}) - 1].stop)")
-        return (
-            f"CASE WHEN size({r}) = 0 THEN array({leaf(SEGMENT, c=line)})"
-            f" ELSE concat(flatten(transform(sequence(0, size({r}) - 1), i -> {each})), array({tail})) END"
-        )
+        def parts(ch: str) -> str:
+            lo = f"CASE WHEN i = 0 THEN 1 ELSE {r}[i - 1].stop END"
+            text = let(lo, lambda a: cards.cut(ch, a, f"{r}[i].start"))
+            card = cards.cut(ch, f"{r}[i].start", f"{r}[i].stop")
+            each = f"array({leaf(SEGMENT, c=text)}, {leaf(CARD, c=card)})"
+            tail = leaf(SEGMENT, c=f"substring({line}, {r}[size({r}) - 1].stop)")
+            return f"concat(flatten(transform(sequence(0, size({r}) - 1), i -> {each})), array({tail}))"
+
+        return f"CASE WHEN size({r}) = 0 THEN array({leaf(SEGMENT, c=line)}) ELSE {let(cards.chunks(line), parts)} END"
 
     return let(cards.card_ranges(line), cut)
 

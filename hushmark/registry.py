@@ -18,7 +18,7 @@ from .streaming import stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-OPTIONS = Options(salt="integration-test-salt-1234567890")
+OPTIONS = Options(salt="depot ledger salt, kept for all runs")
 SAFE_RULES = (Rule("^Brand#1[0-9]$", "TwoDigitBrand"), Rule("^[A-Z]{6,}$", "Capitals"))
 CUSTOM_RULES = (
     Rule("[0-9]+$", "Digits"),
@@ -27,6 +27,7 @@ CUSTOM_RULES = (
     Rule("^[a-f0-9]{9,}", "Hex"),
 )
 RULES = OPTIONS.with_(custom_rules=CUSTOM_RULES, safe_rules=SAFE_RULES)
+LOW_LIMIT = 3.3
 PATTERNS = OPTIONS.with_(key_patterns=("^user", "context_?id"))
 
 
@@ -337,22 +338,23 @@ def log_state(spark, sf):
     return state.token_state(log_lines(spark, sf).select("line_id", "line"), OPTIONS)
 
 
+def log_segments(spark, sf):
+    return state.segment_state(log_lines(spark, sf).select("line_id", "line"), OPTIONS)
+
+
 @query
 def par3_logs(spark, sf):
-    return state.windowed_pairs(log_state(spark, sf)).select("line_id", "token")
+    return state.windowed_pairs(log_state(spark, sf)).select("line_id", "seg", "token")
 
 
 @query
 def par4_logs(spark, sf):
-    return state.generic_pairs(log_state(spark, sf)).select("line_id", "token")
+    return state.generic_pairs(log_state(spark, sf)).select("line_id", "seg", "token")
 
 
 def _state_query(number: int, flag: str) -> None:
     def run(spark, sf):
-        per_line = log_state(spark, sf).withColumn("bit", F.when(F.col(flag), "1").otherwise("0"))
-        ordered = F.array_sort(F.collect_list(F.struct("pos", "bit")))
-        bits = F.array_join(F.transform(ordered, lambda x: x["bit"]), "")
-        return per_line.groupBy("line_id").agg(bits.alias(flag))
+        return state.flag_strings(log_segments(spark, sf), flag)
 
     run.__name__ = f"st{number}_{flag}"
     query(run)
@@ -366,12 +368,24 @@ for _number, _flag in enumerate(("in_value", "context", "forced"), 1):
 def st4_generic(spark, sf):
     """Key tokens that carry a generic name."""
     keys_only = log_state(spark, sf).where("sensitive").withColumn("clean", F.expr(f"lower({tokens.clean('token')})"))
-    return keys_only.where(F.col("clean").isin(*fixed.GENERIC_KEY_NAMES)).select("line_id", "clean")
+    return keys_only.where(F.col("clean").isin(*fixed.GENERIC_KEY_NAMES)).select("line_id", "seg", "clean")
 
 
 _state_query(5, "raised")
 
 
+@query
+def st_conversations(spark, sf):
+    """All flags of every line that a conversation holds, with a login put behind it."""
+    turns = table(spark, sf, "conversations").where("text IS NOT NULL")
+    said = lines.split_documents(turns.withColumn("text", F.concat("text", F.expr("concat('\n', role, ' password: ', left(md5(text), 9), ' card 4012888888881881 key=', turn)"))), "conv_id", "text", "turn")
+    found = state.segment_state(said, OPTIONS)
+    flagged = state.flag_strings(found, "in_value", "context", "forced", "raised")
+    return flagged.groupBy("conv_id", "turn").agg(
+        F.count("*").alias("n_segments"), *(F.sum(F.length(f) - F.length(F.replace(F.col(f), F.lit("1"), F.lit("")))).alias(f) for f in ("in_value", "context", "forced", "raised"))
+    )
+
+
 # --- URLs and cards -------------------------------------------------------------
 
 
@@ -640,12 +654,12 @@ def evl2_logs(spark, sf):
 
 @query
 def evl3_documents(spark, sf):
-    """Whole-document redaction against line redaction, line by line: no mismatch may be left."""
-    texts = redaction.redact_documents(table(spark, sf, "documents").select("doc_id", "text"), OPTIONS)
-    actual = lines.split_documents(texts, "doc_id", "redacted").withColumnRenamed("line", "redacted")
-    expected = redaction.redact_lines(doc_lines(spark, sf), OPTIONS, out="expected")
-    wrong = evaluate.golden_mismatches(actual, expected, "doc_id", "line_no")
-    return wrong.agg(F.count("*").alias("n_mismatches"))
+    """A run with a lower limit against a stored golden table of the usual one: every line that differs."""
+    folder = work_folder(spark, "evl3")
+    rows = doc_lines(spark, sf).select("line_id", "line")
+    redaction.redact_lines(rows, OPTIONS, out="expected").drop("line").write.parquet(f"{folder}/golden")
+    actual = redaction.redact_lines(rows, OPTIONS.with_(entropy_threshold=LOW_LIMIT)).drop("line")
+    return evaluate.golden_mismatches(actual, spark.read.parquet(f"{folder}/golden"), "line_id")
 
 
 @query
@@ -660,10 +674,8 @@ def evl5_documents(spark, sf):
 
 @query
 def evl6_documents(spark, sf):
-    """Rows and bytes as an observed run counts them."""
-    watched, seen = evaluate.throughput(doc_lines(spark, sf), "evl6")
-    redaction.redact_lines(watched.select("line"), OPTIONS).write.format("noop").mode("overwrite").save()
-    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "n_rows BIGINT, n_bytes BIGINT")
+    """Lines and bytes in and out of a redacting run, per source."""
+    return evaluate.volume(redaction.redact_lines(source_lines(spark, sf), OPTIONS), "source")
 
 
 @query

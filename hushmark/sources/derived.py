@@ -14,27 +14,29 @@ from pyspark.sql import DataFrame
 # Standard SQL, shared by every engine that reads the table. ``h`` is the hex
 # SHA-256 of the order key, ``k`` the key itself, ``b`` a mixed-case secret.
 SHAPES = (
-    ("SECRET", "concat('2026-01-30T10:00:00Z [INFO] Process crash data=api_key=', b, ' context_id=12345')"),
-    ("SAFE", "concat('{\"time\": \"1706608800\", \"lvl\": \"WARN\", \"msg\": \"DB timeout\", \"pl\": \"username=user_', substr(h, 1, 4), '\", \"id\": 12345}')"),
-    ("SAFE", "concat('1706608800 [DEBUG] Render complete data=commit_sha=', substr(h, 1, 40), ' context_id=12345')"),
-    ("SAFE", "concat('{\"time\": \"1706608800\", \"msg\": \"Health check\", \"pl\": \"request_id=', substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12), '\", \"id\": ', CAST(k AS VARCHAR(20)), '}')"),
-    ("SAFE", "concat('1706608800 [INFO] Binary dump data=memory_dump: [', substr(h, 1, 2), ' ', substr(h, 3, 2), ' ', substr(h, 5, 2), ' 90 21] context_id=12345')"),
-    ("SECRET", "concat('{\"time\": \"1706608800\", \"lvl\": \"FATAL\", \"msg\": \"DB timeout\", \"pl\": \"custom_var_', substr(h, 1, 4), '=', b, '\", \"id\": 12345}')"),
-    ("NOISE", "concat('1706608800 [ERROR] Health check data=binary_data=BrokenUTF8_', chr(65533), '_End context_id=', CAST(k AS VARCHAR(20)))"),
-    ("SECRET", "concat('{\"time\": \"1706608800\", \"lvl\": \"ERROR\", \"pl\": \"Error: 192.168.1.5 ', b, ' connection failed\", \"id\": 12345}')"),
-    ("SECRET", "concat('{\"key\": \"password\", \"value\": \"', b, '\"}')"),
-    ("SECRET", "concat('{\"user\": \"alice\", \"pass\": \"', b, '\", \"nested\": {\"token\": \"', substr(h, 40, 12), '\", \"id\": ', CAST(k AS VARCHAR(20)), '}, \"list\": [1, \"two\", {\"auth\": ', CAST(k AS VARCHAR(20)), '}], \"note\": null}')"),
-    ("SECRET", "concat('GET https://shop.example.com/p?token=', b, '&page=2&sid=', substr(h, 1, 32), '&flag and /plain?x=1')"),
-    ("SECRET", "concat('card 4556 7375 8689 9855 for order ', CAST(k AS VARCHAR(20)), ' or 4', substr(translate(h, 'abcdef', '123456'), 1, 15), ' and 4556-7375-8689-9855.')"),
-    ("SECRET", "concat('outer=\"inner=\"', substr(h, 1, 3), '\"\" data=a=b:', b, ' \"note=x: y\" \"list=', substr(h, 1, 6), ' ', b, ' password q', substr(h, 1, 7), '\" user=pass=', b)"),
-    ("SECRET", "concat('don', chr(39), 't log password ', b, ' here; it', chr(39), 's token ', substr(h, 1, 9), ' again')"),
-    ("SECRET", "concat('msg: \"Error: token: ', chr(39), b, chr(39), ' failed: x\" level=INFO, auth: \"', b, '\" trailing words')"),
-    ("SAFE", "concat('image=docker.io/library/redis:', substr(h, 1, 3), ' path: /var/log/', substr(h, 1, 12), ' win: C:', chr(92), 'logs', chr(92), substr(h, 1, 12), ' addr: 2001:0db8:85a3:0000:0000:8a2e:0370:7334 at 2023-10-27T10:00:00Z')"),
+    ("SECRET", "concat('2031-05-17T04:21:09Z <notice> checkout worker gave up token=', b, ' attempt=3')"),
+    ("SAFE", "concat('{\"at\": \"1893456000\", \"sev\": 4, \"text\": \"queue drained\", \"who\": \"by=user_', substr(h, 1, 4), '\", \"n\": 77}')"),
+    ("SAFE", "concat('1893456000 <trace> build ready rev=', substr(h, 1, 40), ' shard=77')"),
+    ("SAFE", "concat('{\"at\": \"1893456000\", \"text\": \"ping ok\", \"ref\": \"span=', substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12), '\", \"n\": ', CAST(k AS VARCHAR(20)), '}')"),
+    ("SAFE", "concat('1893456000 <notice> bytes seen: [', substr(h, 1, 2), ' ', substr(h, 3, 2), ' ', substr(h, 5, 2), ' 7f 03] shard=77')"),
+    ("SECRET", "concat('{\"at\": \"1893456000\", \"sev\": 2, \"text\": \"cart saved\", \"ref\": \"opt_', substr(h, 1, 4), '=', b, '\", \"n\": 77}')"),
+    ("NOISE", "concat('1893456000 <warn> ping late blob=cut', chr(65533), 'short shard=', CAST(k AS VARCHAR(20)))"),
+    ("SECRET", "concat('{\"at\": \"1893456000\", \"sev\": 1, \"ref\": \"Failed: 10.20.30.40 ', b, ' was refused\", \"n\": 77}')"),
+    ("SECRET", "concat('{\"key\": \"api_token\", \"value\": \"', b, '\"}')"),
+    ("SECRET", "concat('{\"clerk\": \"bo\", \"passphrase\": \"', b, '\", \"till\": {\"token\": \"', substr(h, 40, 12), '\", \"n\": ', CAST(k AS VARCHAR(20)), '}, \"tags\": [1, \"two\", {\"auth\": ', CAST(k AS VARCHAR(20)), '}], \"memo\": null}')"),
+    ("SECRET", "concat('PUT https://depot.example.net/box?token=', b, '&part=2&sid=', substr(h, 1, 32), '&last and /plain?x=1')"),
+    ("SECRET", "concat('paid by 4012 8888 8888 1881 for order ', CAST(k AS VARCHAR(20)), ' or 4', substr(translate(h, 'abcdef', '123456'), 1, 15), ' and 4012-8888-8888-1881.')"),
+    ("SECRET", "concat('wrap=\"part=\"', substr(h, 1, 3), '\"\" map=a=b:', b, ' \"memo=x: y\" \"set=', substr(h, 1, 6), ' ', b, ' password q', substr(h, 1, 7), '\" login=pass=', b)"),
+    ("SECRET", "concat('won', chr(39), 't keep password ', b, ' around; she', chr(39), 's token ', substr(h, 1, 9), ' again')"),
+    ("SECRET", "concat('note: \"Failed: token: ', chr(39), b, chr(39), ' denied: x\" level=LOW, auth: \"', b, '\" more words')"),
+    ("SAFE", "concat('image=docker.io/depot/till:', substr(h, 1, 3), ' path: /srv/depot/', substr(h, 1, 12), ' win: D:', chr(92), 'depot', chr(92), substr(h, 1, 12), ' addr: 2001:0db8:0000:0000:0042:8a2e:0370:7334 at 2031-05-17T04:21:09Z')"),
     ("SECRET", "concat('password = \"', b, '\" then secret : ', substr(h, 1, 10), ' name=', substr(h, 1, 5), ' key= ', CAST(k AS VARCHAR(20)), ' value=true')"),
+    ("SECRET", "concat('token 4012 8888 8888 1881 left', substr(h, 1, 9), ' password: 4012-8888-8888-1881 tail', substr(h, 10, 8), ' key= 4012888888881881 end')"),
+    ("SECRET", "concat('outer: \"middle: ', chr(39), 'inner: x=', substr(h, 1, 4), ' secret=', b, chr(39), ' end\" rest')"),
 )
 
-LABEL_SQL = "CASE k % 17 " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(SHAPES)) + " END"
-LINE_SQL = "CASE k % 17 " + " ".join(f"WHEN {i} THEN {line}" for i, (_, line) in enumerate(SHAPES)) + " END"
+LABEL_SQL = f"CASE k % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(SHAPES)) + " END"
+LINE_SQL = f"CASE k % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {line}" for i, (_, line) in enumerate(SHAPES)) + " END"
 SECRET_SQL = "concat(substr(h, 1, 7), upper(substr(h, 8, 7)), 'Zq', substr(h, 15, 3))"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hushmark import fixed
-from hushmark.registry import CUSTOM_RULES, OPTIONS, RULES, SHAPE_NAMES
+from hushmark.registry import CUSTOM_RULES, LOW_LIMIT, OPTIONS, RULES, SHAPE_NAMES
 
 from . import duck
 from .duck import s
@@ -139,30 +139,50 @@ ORACLE["key4_logs"] = (
 ORACLE["par1_logs"] = _PARTS + "SELECT token, n, key, value FROM keyed WHERE form = 'equal'"
 ORACLE["par2_logs"] = _PARTS + "SELECT token, form, key, value FROM keyed WHERE form IN ('colon', 'image')"
 
-# --- state: the log lines as one segment each
-_STATE = (
-    f"WITH {LOGS}, open AS (SELECT line_id, [1] AS ord, {duck.SEGMENT} AS m, '' AS p, line AS c, '' AS s FROM logs), "
-    + duck.token_ctes(0, "open")
-    + ", state AS MATERIALIZED (SELECT line_id, i, tok AS token, sk AND NOT img AND NOT url AS sensitive, (fl & 1) = 1 AS forced, (fl & 2) = 2 AS context,"
-    " (fl & 4) = 4 AS in_value, (fl & 8) = 8 AS raised FROM tok0 WHERE NOT is_sep) "
-)
-ORACLE["par3_logs"] = _STATE + "SELECT line_id, token FROM state WHERE forced AND in_value"
-ORACLE["par4_logs"] = _STATE + "SELECT line_id, token FROM state WHERE raised"
+# --- state: the stretches between cards are segments of their own
+def _segments(src: str) -> str:
+    """CTEs up to state and seg over ``src``, a query of line_id and line."""
+    return (
+        f"src AS MATERIALIZED ({src}), {duck.card_ctes('src')}, "
+        "seg AS MATERIALIZED (SELECT line_id, row_number() OVER (PARTITION BY line_id ORDER BY lo) - 1 AS seg, substr(line, lo, hi - lo) AS line FROM ("
+        "SELECT src.line_id, src.line, coalesce(lag(stop) OVER (PARTITION BY src.line_id ORDER BY start), 1) AS lo, start AS hi FROM ranges JOIN src USING (line_id)"
+        " UNION ALL SELECT line_id, line, coalesce(stop, 1), length(line) + 1 FROM src LEFT JOIN (SELECT line_id, max(stop) AS stop FROM ranges GROUP BY 1) USING (line_id)) WHERE hi > lo), "
+        f"open AS (SELECT line_id, [seg] AS ord, {duck.SEGMENT} AS m, '' AS p, line AS c, '' AS s FROM seg), "
+        + duck.token_ctes(0, "open")
+        + ", state AS MATERIALIZED (SELECT line_id, ord[1] AS seg, i, tok AS token, sk AND NOT img AND NOT url AS sensitive, (fl & 1) = 1 AS forced, (fl & 2) = 2 AS context,"
+        " (fl & 4) = 4 AS in_value, (fl & 8) = 8 AS raised FROM tok0 WHERE NOT is_sep) "
+    )
+
+
+_STATE = f"WITH {LOGS}, {_segments('SELECT line_id, line FROM logs')}"
+ORACLE["par3_logs"] = _STATE + "SELECT line_id, seg::INT AS seg, token FROM state WHERE forced AND in_value"
+ORACLE["par4_logs"] = _STATE + "SELECT line_id, seg::INT AS seg, token FROM state WHERE raised"
 for _name, _flag in (("st3_forced", "forced"), ("st5_raised", "raised")):
-    ORACLE[_name] = _STATE + f"SELECT line_id, string_agg(CASE WHEN {_flag} THEN '1' ELSE '0' END, '' ORDER BY i) AS {_flag} FROM state GROUP BY 1"
+    ORACLE[_name] = _STATE + f"SELECT line_id, seg::INT AS seg, string_agg(CASE WHEN {_flag} THEN '1' ELSE '0' END, '' ORDER BY i) AS {_flag} FROM state GROUP BY ALL"
 # Value position and context are plain windows: an independent formulation.
-_WINDOWS = (
-    f"WITH {LOGS}, toks AS (SELECT line_id, t.i, t.token FROM logs, unnest(regexp_extract_all(line, {s(duck.TOKEN)})) WITH ORDINALITY t(token, i) WHERE NOT {IS_SEP}) "
+_WINDOWS = _STATE.rstrip() + (
+    f", toks AS (SELECT line_id, seg, t.i, t.token FROM seg, unnest(regexp_extract_all(line, {s(duck.TOKEN)})) WITH ORDINALITY t(token, i) WHERE NOT {IS_SEP}) "
 )
 ORACLE["st1_in_value"] = _WINDOWS + (
-    "SELECT line_id, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY i) AS in_value FROM (SELECT line_id, i,"
-    f" coalesce(last_value(CASE WHEN {duck.trim_ws('token')} <> '' THEN regexp_matches({duck.trim_ws('token')}, '[:=]\\z') END IGNORE NULLS) OVER (PARTITION BY line_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS v FROM toks) GROUP BY 1"
+    "SELECT line_id, seg::INT AS seg, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY i) AS in_value FROM (SELECT line_id, seg, i,"
+    f" coalesce(last_value(CASE WHEN {duck.trim_ws('token')} <> '' THEN regexp_matches({duck.trim_ws('token')}, '[:=]\\z') END IGNORE NULLS) OVER (PARTITION BY line_id, seg ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS v FROM toks) GROUP BY ALL"
 )
 ORACLE["st2_context"] = _WINDOWS + (
-    "SELECT line_id, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY i) AS context FROM (SELECT line_id, i,"
-    f" coalesce(lag(lower({duck.clean('token')}) IN {duck.word_list(fixed.CONTEXT_WORDS)}) OVER (PARTITION BY line_id ORDER BY i), false) AS v FROM toks) GROUP BY 1"
+    "SELECT line_id, seg::INT AS seg, string_agg(CASE WHEN v THEN '1' ELSE '0' END, '' ORDER BY i) AS context FROM (SELECT line_id, seg, i,"
+    f" coalesce(lag(lower({duck.clean('token')}) IN {duck.word_list(fixed.CONTEXT_WORDS)}) OVER (PARTITION BY line_id, seg ORDER BY i), false) AS v FROM toks) GROUP BY ALL"
+)
+ORACLE["st4_generic"] = _STATE + f"SELECT line_id, seg::INT AS seg, lower({duck.clean('token')}) AS clean FROM state WHERE sensitive AND lower({duck.clean('token')}) IN ('key', 'name', 'setting')"
+_SAID = (
+    "SELECT row_number() OVER () AS line_id, conv_id, turn, t.line FROM (SELECT *, text || chr(10) || role || ' password: ' || left(md5(text), 9) || ' card 4012888888881881 key=' || turn AS said"
+    " FROM conversations WHERE text IS NOT NULL), unnest(string_split(said, chr(10))) t(line)"
+)
+ORACLE["st_conversations"] = (
+    f"WITH said AS MATERIALIZED ({_SAID}), {_segments('SELECT line_id, line FROM said')}, sums AS (SELECT line_id, "
+    + ", ".join(f"count_if({f}) AS {f}" for f in ("in_value", "context", "forced", "raised"))
+    + " FROM state GROUP BY 1), many AS (SELECT line_id, count(*) AS n FROM seg GROUP BY 1) SELECT conv_id, turn, sum(n)::BIGINT AS n_segments, "
+    + ", ".join(f"coalesce(sum({f}), 0)::BIGINT AS {f}" for f in ("in_value", "context", "forced", "raised"))
+    + " FROM said JOIN many USING (line_id) LEFT JOIN sums USING (line_id) GROUP BY ALL"
 )
-ORACLE["st4_generic"] = _STATE + f"SELECT line_id, lower({duck.clean('token')}) AS clean FROM state WHERE sensitive AND lower({duck.clean('token')}) IN ('key', 'name', 'setting')"
 
 # --- URLs
 _TRACKED = (
@@ -301,14 +321,19 @@ ORACLE["evl2_logs"] = LABEL_LEAF + (
     " SELECT line_id, CASE WHEN label = 'SECRET' THEN 'leak' ELSE 'false_positive' END AS mistake FROM done"
     " WHERE (label = 'SECRET' AND line = redacted) OR (label = 'SAFE' AND line <> redacted AND contains(redacted, '[HIDDEN'))"
 )
-ORACLE["evl3_documents"] = "SELECT 0 AS n_mismatches"
+ORACLE["evl3_documents"] = (
+    f"SELECT line_id, a.redacted AS got, b.redacted AS want FROM ({duck.leaf_ctes(DOC_SRC, OPTIONS.with_(entropy_threshold=LOW_LIMIT))} SELECT line_id, redacted FROM done) a"
+    f" JOIN ({DOC_LEAF} SELECT line_id, redacted FROM done) b USING (line_id) WHERE a.redacted <> b.redacted"
+)
 ORACLE["evl4_logs"] = LABEL_LEAF + (
     " SELECT source, count(*) AS n_json, count_if(NOT json_valid(redacted)) AS n_broken FROM done WHERE starts_with(redacted, '{') GROUP BY 1"
 )
 ORACLE["evl5_documents"] = DOC_LEAF + (
     " SELECT source, count(*) AS n, 0 AS n_invalid, count_if(strlen(redacted) > 3 * strlen(line) + 100) AS n_exploded FROM done GROUP BY 1"
 )
-ORACLE["evl6_documents"] = f"SELECT count(*) AS n_rows, sum(strlen(line))::BIGINT AS n_bytes FROM ({duck.DOC_LINES})"
+ORACLE["evl6_documents"] = DOC_LEAF + (
+    " SELECT source, count(*) AS n_rows, sum(strlen(line))::BIGINT AS n_bytes, sum(strlen(redacted))::BIGINT AS n_bytes_out FROM done GROUP BY 1"
+)
 ORACLE["rpt1_documents"] = DOC_LEAF + (
     " SELECT coalesce(source, '(all)') AS source, coalesce(kind, '(all)') AS kind, count(*) AS n FROM found GROUP BY ROLLUP (source, kind)"
 )

@@ -10,7 +10,9 @@ from hushmark.plans import scan
 from hushmark.sources import lines as line_source
 from hushmark.streaming import stream
 
-BASE = Options(salt="integration-test-salt-1234567890")
+from . import golden
+
+BASE = Options(salt=golden.SALT)
 
 
 def luhn(digits):
@@ -164,7 +166,7 @@ def test_plans_stay_narrow(spark):
     for plan in (redaction.redact_lines(df, BASE), redaction.find(df, BASE)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning" not in text and "Python" not in text
-        assert "integration-test-salt" not in plan._jdf.queryExecution().toString()
+        assert golden.SALT not in plan._jdf.queryExecution().toString()
 
 
 def test_correlation_of_a_hot_secret(spark):
