@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,11 @@ def pieces(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "tex
     names = ["doc_id", "uid", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(vocab).encode
+        encode = vocabulary(vocab).encode_all
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(batch.column("text")):
-                ids = np.append(encode(t.as_py()), np.uint32(end_id)).astype("<u4")
+            for i, found in enumerate(encode(batch.column("text"))):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity]
                     row.append(i)
@@ -44,125 +46,188 @@ def pieces(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"doc_id {kind}, uid long, piece int, start long, length long, ids_crc32 long")
 
 
+class Buckets:
+    """Entries by a number from 0 to ``most``; finds the smallest number at or above another that has one."""
+
+    def __init__(self, most: int):
+        self.at: list[dict] = [{} for _ in range(most + 1)]
+        self.mask = 0
+
+    def add(self, number: int, entry) -> None:
+        self.at[number][entry] = None
+        self.mask |= 1 << number
+
+    def drop(self, number: int, entry) -> None:
+        del self.at[number][entry]
+        if not self.at[number]:
+            self.mask ^= 1 << number
+
+    def from_(self, number: int) -> Iterator[int]:
+        rest = self.mask >> number
+        while rest:
+            low = (rest & -rest).bit_length() - 1
+            yield number + low
+            rest &= rest - 1
+
+
 class Bins:
-    """Bins of items; knows for each item length the freest bin that holds one."""
+    """Bins of items, and local search that empties them one after the other.
+
+    Items come in arrival order into the last bin, or a new one (next fit). The emptiest bin A is then taken
+    apart by moves that each raise the sum of squared fills: an item moves to a bin with room, is exchanged
+    for a shorter one (one for one), or two items are exchanged for one (two for one). All bins B
+    on the other side are at least as full as A and gain what A loses, so the sum of squares grows
+    with every move and the search ends. Among the moves for an item the one that leaves least room in B is taken.
+    """
+
+    TRIES = 6  # entries looked at for one amount of room
+    REACH = 64  # amounts of room looked at for one item
+    EFFORT = 4  # moves for each item, at most
 
     def __init__(self, lengths: list[int], capacity: int):
         self.lengths, self.capacity = lengths, capacity
-        self.items: list[set[int]] = []
+        self.held: list[dict[int, list[int]]] = []  # by bin: items by length
         self.free: list[int] = []
-        self.bin_of = [-1] * len(lengths)
-
-    def first(self) -> None:
-        """Best fit in descending order of length: the fullest bin with room, by a bit for each amount of room."""
-        rooms: dict[int, list[int]] = {}
-        mask = 0
-        for i in sorted(range(len(self.lengths)), key=lambda i: -self.lengths[i]):
-            n = self.lengths[i]
-            fit = mask >> n
-            if fit:
-                room = n + (fit & -fit).bit_length() - 1
-                b = rooms[room].pop()
-                if not rooms[room]:
-                    mask &= ~(1 << room)
-            else:
-                b = len(self.items)
-                self.items.append(set())
+        self.moves = {"move": 0, "one for one": 0, "two for one": 0}
+        self.rooms = Buckets(capacity)  # bins by room
+        self.swaps = Buckets(capacity)  # (bin, lengths) by room once one or two such items are out
+        self.next_fit()
+
+    def next_fit(self) -> None:
+        for i, n in enumerate(self.lengths):
+            if not self.free or self.free[-1] < n:
+                self.held.append({})
                 self.free.append(self.capacity)
-            self.put(i, b)
-            rooms.setdefault(self.free[b], []).append(b)
-            mask |= 1 << self.free[b]
-
-    def put(self, i: int, b: int) -> None:
-        if self.bin_of[i] >= 0:
-            self.items[self.bin_of[i]].discard(i)
-            self.free[self.bin_of[i]] += self.lengths[i]
-        self.items[b].add(i)
+            self._put(i, len(self.free) - 1)
+
+    def squares(self) -> int:
+        return sum((self.capacity - f) ** 2 for f in self.free)
+
+    def count(self) -> int:
+        return sum(map(bool, self.held))
+
+    def least(self) -> int:
+        """No packing has fewer bins."""
+        return -(-sum(self.lengths) // self.capacity)
+
+    def _put(self, i: int, b: int) -> None:
+        self.held[b].setdefault(self.lengths[i], []).append(i)
         self.free[b] -= self.lengths[i]
-        self.bin_of[i] = b
-
-    def search(self, patience: int = 64) -> None:
-        """Empty bins, the least filled first, by moves that raise the sum of squared fills.
-
-        A move takes one or two items of bin A to a bin B with room, for no item or one
-        shorter item of B; A was the emptier one, so the sum of squares grows and
-        the search ends. It stops when the others' room cannot take A (the number of
-        bins is then the least possible) or when ``patience`` bins in turn allow no move.
-        """
-        order = sorted((b for b in range(len(self.items)) if self.free[b]), key=lambda b: -self.free[b])
-        room = sum(self.free[b] for b in order)
-        stuck: set[int] = set()
-        holds = np.zeros(self.capacity + 1, np.int64)  # by item length: the most room in a bin that holds such an item
-        where = np.full(self.capacity + 1, -1, np.int64)
-        while True:
-            live = [b for b in order if self.items[b] and b not in stuck]
-            if not live or len(stuck) >= patience:
-                return
-            a = max(live, key=lambda b: self.free[b])
-            if room - self.free[a] < self.capacity - self.free[a]:
-                return
-            holds[:] = 0
-            for b in order:
-                if b != a and self.items[b] and self.free[b] <= self.free[a]:
-                    holds[0] = max(holds[0], self.free[b])
-                    if holds[0] == self.free[b]:
-                        where[0] = b
-                    for n in {self.lengths[i] for i in self.items[b]}:
-                        if self.free[b] > holds[n]:
-                            holds[n], where[n] = self.free[b], b
-            if self._improve(a, holds, where):
-                stuck.clear()
-                if not self.items[a]:
-                    room -= self.capacity
+
+    def _take(self, n: int, b: int) -> int:
+        items = self.held[b][n]
+        i = items.pop()
+        if not items:
+            del self.held[b][n]
+        self.free[b] += n
+        return i
+
+    def _list(self, b: int, listed: bool) -> None:
+        """Enter bin ``b`` in the buckets, or strike it out. Full and empty bins are in none."""
+        room = self.free[b]
+        if not 0 < room < self.capacity:
+            return
+        one = Buckets.add if listed else Buckets.drop
+        one(self.rooms, room, b)
+        sizes = sorted(self.held[b])
+        for n in sizes:
+            one(self.swaps, room + n, (b, (n,)))
+        for k, n in enumerate(sizes[: self.TRIES]):
+            for m in sizes[k if len(self.held[b][n]) > 1 else k + 1 : self.TRIES]:
+                one(self.swaps, room + n + m, (b, (n, m)))
+
+    def search(self, patience: int = 256) -> None:
+        """Until the number of bins is the least possible, ``patience`` bins in turn allow no move, or after ``EFFORT``."""
+        for b in range(len(self.free)):
+            self._list(b, True)
+        open_ = [(-f, b) for b, f in enumerate(self.free) if f]
+        heapify(open_)
+        count, least, stuck, most = self.count(), self.least(), 0, self.EFFORT * len(self.lengths)
+        while open_ and count > least and stuck < patience and sum(self.moves.values()) < most:
+            known, a = heappop(open_)
+            if -known != self.free[a] or not self.held[a]:
+                continue
+            self._list(a, False)
+            before = self.free[a]
+            while self.held[a] and self._improve(a, open_):
+                pass
+            if not self.held[a]:
+                count -= 1
+                stuck = 0
             else:
-                stuck.add(a)
-
-    def _improve(self, a: int, holds: np.ndarray, where: np.ndarray) -> bool:
-        """The move from A that takes over most tokens: one or two items, against none or one."""
-        mine = sorted(self.items[a], key=lambda i: -self.lengths[i])
-        some = mine[:64]
-        groups = [(i,) for i in mine] + [(i, j) for k, i in enumerate(some) for j in some[k + 1 :]]
-        best, move = 0, None
-        for group in groups:
-            n = sum(self.lengths[i] for i in group)
-            back = np.arange(min(n, self.capacity + 1))
-            fits = np.flatnonzero(n - back <= holds[: len(back)])
-            if len(fits) and n - int(fits[0]) > best:
-                best, move = n - int(fits[0]), (group, int(fits[0]))
-        if move is None:
-            return False
-        group, back = move
-        b = int(where[back])
-        other = next(i for i in self.items[b] if self.lengths[i] == back) if back else None
-        if other is not None:
-            self.put(other, a)
-        for i in group:
-            self.put(i, b)
-        return True
-
-
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY, patience: int = 64) -> tuple[list[int], list[int]]:
+                self._list(a, True)
+                if self.free[a] > before:
+                    heappush(open_, (-self.free[a], a))
+                    stuck = 0
+                else:
+                    stuck += 1
+
+    def _improve(self, a: int, open_: list) -> bool:
+        """The best move of one item of A, the longest that has any, or else of two."""
+        sizes = sorted(self.held[a], reverse=True)
+        near = sizes[: self.TRIES]
+        pairs = [(n, m) for k, n in enumerate(near) for m in near[k if len(self.held[a][n]) > 1 else k + 1 :]]
+        for given in [*((n,) for n in sizes), *pairs]:
+            if found := self._best(given, a):
+                self._exchange(a, given, *found, open_)
+                kinds = {(1, 0): "move", (2, 0): "move", (1, 1): "one for one"}
+                self.moves[kinds.get((len(given), len(found[1])), "two for one")] += 1
+                return True
+        return False
+
+    def _best(self, given: tuple[int, ...], a: int) -> tuple[int, tuple[int, ...]] | None:
+        """The bin, and the lengths of the items it gives, that the given lengths fill best."""
+        n = sum(given)
+        if n > self.capacity:
+            return None
+        room = next(self.rooms.from_(n), None)
+        if room is not None and room > self.free[a]:  # a bin emptier than A
+            room = None
+        for tried, v in enumerate(self.swaps.from_(n)):
+            if room is not None and room <= v or tried > self.REACH:
+                break
+            for b, back in islice(self.swaps.at[v], self.TRIES):
+                gain = n - sum(back)
+                if gain > 0 and len(given) + len(back) <= 3 and self.free[b] <= self.free[a] and self.free[b] - gain >= 0:
+                    if self.capacity - self.free[b] + gain > self.capacity - self.free[a]:  # more than a change of names
+                        return b, back
+        return (next(iter(self.rooms.at[room])), ()) if room is not None else None
+
+    def _exchange(self, a: int, given: tuple[int, ...], b: int, back: tuple[int, ...], open_: list) -> None:
+        self._list(b, False)
+        taken = [self._take(n, a) for n in given]
+        returned = [self._take(n, b) for n in back]
+        for i in returned:
+            self._put(i, a)
+        for i in taken:
+            self._put(i, b)
+        self._list(b, True)
+        if self.free[b]:
+            heappush(open_, (-self.free[b], b))
+
+
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY, patience: int = 256) -> tuple[list[int], list[int]]:
     """``bin, offset`` of each item; no bin holds more than ``capacity``."""
     bins = Bins(lengths, capacity)
-    bins.first()
     bins.search(patience)
-    offset = [0] * len(lengths)
-    for items in bins.items:
+    bin_of, offset = [0] * len(lengths), [0] * len(lengths)
+    for b, held in enumerate(bins.held):
         at = 0
-        for i in sorted(items):
-            offset[i] = at
+        for i in sorted(i for items in held.values() for i in items):
+            bin_of[i], offset[i] = b, at
             at += lengths[i]
-    return bins.bin_of, offset
+    return bin_of, offset
 
 
 def pack_documents(docs: DataFrame, vocab: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row per piece.
 
     Every document is kept whole unless it is longer than ``capacity``. Pieces are dealt
-    out evenly, ``GROUP`` to a task, and packed there, so that a task's work does not grow
+    out evenly, ``GROUP`` to a task, and packed there by ``Bins``, so that a task's work does not grow
     with the input; a group wastes less than one sequence where the search ends at the
     least number. Null text is empty (one piece, the end id); rows that repeat are packed
-    each; null ids stay null; an empty table gives no rows.
+    each; null ids stay null; very long texts are many full pieces; other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     rows = written(pieces(docs, vocab, doc_id, text, end_id, capacity), "pieces")
     n = max(1, -(-rows.count() // GROUP))

@@ -17,6 +17,7 @@ BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 ESCAPE = 0  # the payload is the place of the id in the block's list of raw 64-bit ids
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 STRETCH = 128  # words between two entries of the offset list
+RUN = 16384  # ids that are decoded together
 BLOCK = 65536  # ids, at least, before a block is closed
 
 
@@ -92,14 +93,17 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, doc_id: str = "doc_id",
 
     ``path/blocks`` holds a row per block of whole documents: their ids, lengths and
     Simple-8b words, the offsets of every 128th word and the raw ids too wide for a word.
-    ``path/index`` holds a row per part: the ids before it. Parts are ranges of ``doc_id``
-    (null ids first, rows that repeat an id in any order); a text is read once per task,
-    null as empty, and each document ends with ``end_id``. An empty table writes no block.
+    ``path/index`` holds a row per part: the ids before it. Parts are ranges of ``doc_id`` and, inside
+    an id, of row numbers: null ids come first, rows that repeat an id follow in any order, and an id that a third of
+    the rows share is spread over parts like any other stretch. Null text is empty, and each document ends with
+    ``end_id``. The ids of a text are those of the library's plain call, strings of special tokens included. A very long
+    text is a block of its own, held by one task. Other columns are ignored, whatever their names. An empty table
+    writes no block.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary(vocab).encode
+        encode = vocabulary(vocab).encode_all
         part, block, first = TaskContext.get().partitionId(), 0, 0
         docs_in: list = []
         held: list[np.ndarray] = []
@@ -119,8 +123,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, doc_id: str = "doc_id",
         size = 0
         for batch in batches:
             id_type = batch.column(0).type
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(np.append(encode(t.as_py()), np.uint32(end_id)))
+            for i, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                held.append(np.append(found, np.uint32(end_id)))
                 docs_in.append(i)
                 size += len(held[-1])
                 if size >= BLOCK:
@@ -129,8 +133,8 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, doc_id: str = "doc_id",
         if held:
             yield row()
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id").drop("row")
     ordered.mapInArrow(run, SCHEMA.format(id=kind)).write.parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.parquet(f"{path}/blocks")
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -140,23 +144,32 @@ def write_tokens(docs: DataFrame, path: str, vocab: str, doc_id: str = "doc_id",
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, ids`` of every document of a token file; ``ids`` as little-endian 32-bit integers."""
+    """``doc_id, start, ids`` of every document of a token file; ``ids`` as little-endian 32-bit integers.
+
+    The offsets of a block lead to the words that hold a document: a few documents at a time are decoded, from their
+    own stretches of words, so what is in memory is a block as written and about ``RUN`` ids. A file without blocks
+    gives no rows; null and repeated ids come back as written.
+    """
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = unpack(np.frombuffer(r["words"], "<u8"), np.frombuffer(r["escapes"], "<u8"), r["n_ids"])
-                ends = np.cumsum(np.array(r["lengths"], np.int64))
-                flat = ids.astype("<u4")
-                starts = ends - np.array(r["lengths"], np.int64)
-                data = [flat[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], batch.column("doc_ids").type.value_type), pa.array(starts + r["first"] + r["before"]), pa.array(data, pa.binary())],
-                    ["doc_id", "start", "ids"],
-                )
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                words, offsets, escapes = (np.frombuffer(r[c].as_buffer(), t) for c, t in (("words", "<u8"), ("offsets", "<u4"), ("escapes", "<u8")))
+                lengths = r["lengths"].values.to_numpy()
+                ends = np.cumsum(lengths)
+                starts = ends - lengths
+                data, a = [], 0
+                while a < len(ends):
+                    b = max(a + 1, int(np.searchsorted(ends, starts[a] + RUN, side="right")))
+                    ids = unpack_range(words, offsets, escapes, int(starts[a]), int(ends[b - 1])).astype("<u4")
+                    data += [ids[x - starts[a] : y - starts[a]].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]
+                    a = b
+                before = r["first"].as_py() + r["before"].as_py()
+                yield pa.RecordBatch.from_arrays([r["doc_ids"].values, pa.array(starts + before), pa.array(data, pa.binary())], ["doc_id", "start", "ids"])
 
     index = spark.read.parquet(f"{path}/index").select("part", "before")
-    whole = blocks.drop("offsets").join(F.broadcast(index), "part")  # the index has a row per part of the file
+    whole = blocks.join(F.broadcast(index), "part")  # the index has a row per part, and a part is a task of the write
     return whole.mapInArrow(run, f"doc_id {kind}, start long, ids binary")
