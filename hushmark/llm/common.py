@@ -80,8 +80,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_key(doc_id: str, text: str):
-    """Two columns that identify a row by id and text, null-safe."""
-    return F.xxhash64(F.col(doc_id), F.col(text)), F.coalesce(F.octet_length(text), F.lit(-1))
+    """Two columns of 64 bits that identify a row by id and text, null-safe: among 10 billion rows
+    two different ones agree in both with a chance of about one in 10 ** 18."""
+    return F.xxhash64(F.col(doc_id), F.col(text)), F.xxhash64(F.lit("second"), F.col(text), F.col(doc_id))
 
 
 def only(docs: DataFrame, stays: DataFrame, doc_id: str, text: str, one: bool = True) -> DataFrame:

@@ -88,7 +88,7 @@ def featured(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> D
             x = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "k1", "k2", "site", "host", "x"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 int, site string, host string, x array<double>")
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, site string, host string, x array<double>")
 
 
 def train(rows: DataFrame, labels: DataFrame, bound: int = LABELS) -> dict | None:
@@ -157,7 +157,7 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(p)], ["doc_id", "k1", "k2", "site", "host", "p"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 int, site string, host string, p double")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, site string, host string, p double")
     sites, mean = site_rates(scored)
     found = join_hot(scored.drop("host"), sites.drop("host", "square"), "site", "n", max(rows.count(), 1))
     p, w = F.col("p"), F.col("weight")

@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(fps)], ["doc_id", "uid", "k1", "k2", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, uid long, k1 long, k2 int, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, uid long, k1 long, k2 long, fp long")
 
 
 def pivots(n: int = 16) -> np.ndarray:

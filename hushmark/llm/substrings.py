@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -101,7 +102,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[row]), pa.array(k[row]), pa.array(pos)], ["h", "doc", "k", "pos"])
                 i = j
 
-    return docs.mapInArrow(run, "h long, doc long, k int, pos long")
+    return docs.mapInArrow(run, "h long, doc long, k long, pos long")
 
 
 def candidates(runs: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def candidates(runs: DataFrame) -> DataFrame:
         if held is not None:
             yield out(held, np.ones(1, bool))
 
-    return runs.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g int, doc long, k int, pos long, chunk long")
+    return runs.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g int, doc long, k long, pos long, chunk long")
 
 
 def segments(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -189,7 +190,7 @@ def segments(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array(chunk[s]), pa.array(g[s]), batch.column("doc").take(pa.array(row[s])), batch.column("k").take(pa.array(row[s])), pa.array(pos[s]), pa.array(mark[s]), pa.array(segs[s], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["chunk", "g", "doc", "k", "pos", "mark", "seg"])
 
-    return docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "runs").mapInArrow(run, "chunk long, g int, doc long, k int, pos long, mark long, seg binary")
+    return docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "runs").mapInArrow(run, "chunk long, g int, doc long, k long, pos long, mark long, seg binary")
 
 
 class Suffixes:
@@ -365,7 +366,7 @@ def repeats(table: pa.Table, length: int) -> pa.Table:
 
 def removed_ranges(segs: DataFrame, length: int) -> DataFrame:
     """``doc, k, a, b``: ranges of bytes covered by windows that start earlier, still overlapping."""
-    schema = "doc long, k int, a long, b long, w1 long, w2 long"
+    schema = "doc long, k long, a long, b long, w1 long, w2 long"
     rows = written(segs.groupBy("chunk").applyInArrow(lambda t: repeats(t, length), schema), "ranges", clear=True)
     # a window meets its like of other chunks once per chunk, so these groups stay small
     place = F.struct("doc", "k", "a", "b")
@@ -374,6 +375,24 @@ def removed_ranges(segs: DataFrame, length: int) -> DataFrame:
     return rows.where("w2 IS NULL").select("doc", "k", "a", "b").unionByName(again.select("p.*"))
 
 
+def row_hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "text")
+
+
+def told_apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc, k, text``: no two different texts of one id (null ids count as one) have the same ``k``.
+
+    ``k`` is a 64-bit hash; a digest proves that it tells all rows of an id apart, or else another seed is taken.
+    """
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
+    for seed in count():
+        keyed = rows.select("doc", row_hash(seed).alias("k"), "text")
+        proof = F.sha2(F.coalesce("text", F.lit("")), 256)
+        clash = keyed.groupBy("doc", "k").agg(F.min(proof).alias("least"), F.max(proof).alias("most")).where("least <> most")
+        if not clash.head(1):
+            return keyed
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: the maximal removed ranges and the bytes that stay, one row per document.
 
@@ -383,6 +402,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat an id and a text are one document and get the same result; of rows that repeat
     an id alone one counts as the earlier. An empty table gives no rows.
 
+    Very long texts are cut by overlapping slices; other columns are ignored, whatever their names.
+
     Every window belongs to the gram of least hash in it. Runs of windows whose gram
     occurs again are brought together in order, ``CHUNK`` at a time, and their suffix array
     tells equal windows apart. All steps work on ranges of rows, never on all rows of a
@@ -391,11 +412,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not GRAM <= length <= GRAM + 126:
         raise ValueError("a run of starts must fit 7 bits")
-    keyed = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash(text).alias("k"),
-        F.col(text).alias("text"),
-    )
+    keyed = told_apart(docs, doc_id, text)
     found = written(candidates(anchors(keyed, length)), "candidates", clear=True)
     ranges = removed_ranges(segments(keyed, found, length), length)
     # a range is shorter than 2^9: one number holds its start and its size

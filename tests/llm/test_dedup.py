@@ -150,3 +150,26 @@ def test_vectors_repeated_and_null_ids(shipped):
 def test_queries_take_the_whole_table(some):
     for name in ("op3_substring_dedup", "op4_simhash_near_dedup", "op8_exact_dedup"):
         assert queries.QUERIES[name](some.sparkSession, SF).count() == some.count()
+
+
+def test_rows_of_one_id_stay_apart(shipped, monkeypatch):
+    """Texts whose hashes clash are other rows all the same: another seed is taken."""
+    a, b = "first passage " * 12, "second words. " * 12
+    real = substrings.row_hash
+    monkeypatch.setattr(substrings, "row_hash", lambda seed: F.lit(0).cast("long") if seed < 2 else real(seed))
+    rows = [(None, a), (None, b), (5, a), (5, b), (7, a), (7, b), (7, "short")]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.n_bytes, bytes(r.kept)) for r in substrings.substring_dedup(docs).collect())
+    assert [(i, n, k) for i, n, k in got if i == -1] == sorted((-1, len(x), substrings_alone(x)) for x in (a, b))
+    assert all(k == (b"short" if n == 5 else b"") for i, n, k in got if i > 0)
+
+
+def substrings_alone(text):
+    """What is left of a text that repeats itself only."""
+    raw, seen = text.encode(), set()
+    gone = bytearray(len(raw))
+    for s in range(len(raw) - 99):
+        if raw[s : s + 100] in seen:
+            gone[s : s + 100] = b"\1" * 100
+        seen.add(raw[s : s + 100])
+    return bytes(x for x, g in zip(raw, gone) if not g)
