@@ -194,3 +194,31 @@ SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coa
        coalesce(sha, sha256('')) AS ends_sha256
 FROM node LEFT JOIN node up ON up.key = node.parent LEFT JOIN child ON child.key = node.key JOIN below ON below.key = node.key LEFT JOIN ends ON ends.key = node.key
 """
+
+
+# every window of 100 bytes, as hex so that a byte is two characters
+ORACLE["op3_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+win AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(hx, 2 * s + 1, 200)) AS w FROM (SELECT doc_id, hx, unnest(range(0, n_bytes - 99)) AS s FROM d WHERE n_bytes >= 100)),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS nth FROM win) WHERE nth > 1),
+island AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM (
+    SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM late))
+  GROUP BY doc_id, i),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM island
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n_bytes) FROM d LEFT JOIN island USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(substr(hx, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo, hi))) AS kept_sha256 FROM cut JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM island GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+# all pairs, and what is reachable from each vector
+ORACLE["op5_embedding_dedup"] = r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(far, vec_id)) AS component_id, vec_id <= coalesce(far, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id) LEFT JOIN (SELECT a AS vec_id, min(b) AS far FROM reach GROUP BY a) USING (vec_id)
+"""
