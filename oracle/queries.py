@@ -293,21 +293,30 @@ ORACLE["jsn5_customer"] = (
 )
 
 # --- baseline
-_BASE = DOC_LEAF + f""", samp AS MATERIALIZED (SELECT * FROM (
-  SELECT src.source, d.line_id, d.pos, d.score, row_number() OVER (PARTITION BY src.source ORDER BY d.line_id, d.pos) AS rank
+def _base(part: str) -> str:
+    """samp and base; lines count in the order of ``part`` (the batch they come in) first."""
+    return DOC_LEAF + f""", samp AS MATERIALIZED (SELECT * FROM (
+  SELECT src.source, d.line_id, d.pos, d.score, {part} AS part, row_number() OVER (PARTITION BY src.source ORDER BY {part}, d.line_id, d.pos) AS rank
   FROM decided d JOIN src USING (line_id) WHERE d.m IN ({duck.PLAIN}, {duck.CONTEXT}) AND NOT d.safe AND NOT d.hidden AND strlen(d.c) >= 6 AND NOT contains(d.c, ' ')) WHERE rank <= 100),
-base AS MATERIALIZED (SELECT source, count(*) AS n, avg(score) + 2 * stddev_pop(score) AS threshold, max(line_id) AS last_line, max_by(pos, (line_id, pos)) AS last_pos FROM samp GROUP BY 1)"""
+base AS MATERIALIZED (SELECT source, count(*) AS n, avg(score) + 2 * stddev_pop(score) AS threshold, max((part, line_id, pos)) AS last FROM samp GROUP BY 1)"""
+
+
+_BASE = _base("0")
 ORACLE["bas1_documents"] = _BASE + " SELECT source, rank::INT AS rank, line_id, round(score, 6) AS score FROM samp"
 ORACLE["bas2_documents"] = _BASE + " SELECT source, round(threshold, 6) AS threshold FROM base WHERE n = 100"
 ORACLE["bas4_documents"] = _BASE + " SELECT source, n, n >= 100 AS ready FROM base"
-ORACLE["bas3_documents"] = _BASE + f""", again AS (SELECT d.line_id, d.ord, d.p, d.c, d.o, d.s, d.m, coalesce(d.mark, '') AS mark, d.a,
-  CASE WHEN d.m <> {duck.PLAIN} OR b.n IS NULL OR b.n < 100 OR d.line_id < b.last_line OR (d.line_id = b.last_line AND d.pos <= b.last_pos) THEN d.hidden
+def _adaptive(part: str) -> str:
+    return _base(part) + f""", again AS (SELECT d.line_id, d.ord, d.p, d.c, d.o, d.s, d.m, coalesce(d.mark, '') AS mark, d.a,
+  CASE WHEN d.m <> {duck.PLAIN} OR b.n IS NULL OR b.n < 100 OR ({part}, d.line_id, d.pos) <= b.last THEN d.hidden
        WHEN d.safe OR strlen(d.c) < 6 OR contains(d.c, ' ') THEN false ELSE d.score > b.threshold + 1e-9 END AS hidden
   FROM decided d JOIN src USING (line_id) LEFT JOIN base b USING (source))
 SELECT src.line_id, coalesce(r.redacted, '') AS redacted FROM src LEFT JOIN (
   SELECT line_id, string_agg(p || CASE WHEN hidden AND m IN ({duck.PLAIN}, {duck.CONTEXT}, {duck.FORCED}) AND ({duck.starts_quoted('o')} OR (a AND regexp_matches(c, '\\A\\p{{Nd}}*\\z'))) THEN '"' || mark || '"'
      WHEN hidden THEN mark ELSE o END || s, '' ORDER BY ord) AS redacted FROM again GROUP BY 1) r USING (line_id)"""
-ORACLE["bas5_stream"] = ORACLE["bas3_documents"]
+
+
+ORACLE["bas3_documents"] = _adaptive("0")
+ORACLE["bas5_stream"] = "SELECT *, (line_id // 4294967296 % 3)::INT AS batch FROM (" + _adaptive("d.line_id // 4294967296 % 3") + ")"
 
 # --- evaluation
 _CONF = (

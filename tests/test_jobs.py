@@ -145,19 +145,82 @@ def test_text_source_and_stream(spark, tmp_path):
     assert sorted(r.redacted for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+SCHEMA = "source STRING, line_id BIGINT, line STRING"
+
+
+def put(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+
+
 def test_adaptive_stream_over_batches(spark, tmp_path):
-    """Samples add up over batches; a source ready in an earlier batch starts with its limit."""
-    src = tmp_path / "in"
-    o = BASE.with_(adaptive_samples=15)
-    def put(n, rows):
-        spark.createDataFrame(rows, "source STRING, line_id BIGINT, line STRING").coalesce(1).write.mode("append").parquet(str(src))
-    put(0, [("s", i, f"letters{i}") for i in range(10)])
-    put(1, [("s", i, f"letters{i}") for i in range(10, 30)])
-    rows = spark.readStream.schema("source STRING, line_id BIGINT, line STRING").option("maxFilesPerTrigger", 1).parquet(str(src))
-    stream.adaptive_stream(rows, o, str(tmp_path / "work")).awaitTermination()
-    samples = spark.read.parquet(str(tmp_path / "work" / "samples"))
-    assert samples.count() == 15 and {r.rank for r in samples.collect()} == set(range(1, 16))
-    assert spark.read.parquet(str(tmp_path / "work" / "redacted")).count() == 30
+    """Samples add up over batches, a limit stays once it is there, a batch run again changes nothing, a reset learns anew."""
+    src, work = tmp_path / "in", str(tmp_path / "work")
+    o = BASE.with_(adaptive_samples=15, adaptive=True)
+    odd = "zq7Kd mixwordzz9"
+    put(spark, src, [("s", i, f"letters{i}") for i in range(10)] + [("t", 1, "letters1"), (None, 5, odd)])
+    put(spark, src, [("s", i, f"letters{i}") for i in range(10, 30)] + [("t", 2, "letters2")])
+    put(spark, src, [("s", 30, odd), ("t", 3, odd)])
+
+    def run():
+        rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(src))
+        stream.adaptive_stream(rows, o, work).awaitTermination()
+
+    run()
+    states = [{r.source: (r.n, r.ready, r.threshold) for r in stream.baseline_state(spark, work, k).collect()} for k in range(3)]
+    assert states[0] == {"s": (10, False, None), "t": (1, False, None)}
+    assert states[1]["s"][:2] == (15, True) and states[1]["t"] == (2, False, None) and states[2]["s"] == states[1]["s"]
+    whole = spark.createDataFrame([("s", i, f"letters{i}") for i in range(15)], SCHEMA)
+    want = baseline.thresholds(baseline.samples(whole, o), o).first().threshold
+    assert abs(states[1]["s"][2] - want) < 1e-9
+    got = {(r.source, r.line_id): r.redacted for r in spark.read.parquet(f"{work}/redacted").collect()}
+    assert len(got) == 35
+    static = redaction.redact_lines(spark.createDataFrame([("t", 3, odd)], SCHEMA), BASE).first().redacted
+    assert got["t", 3] == got[None, 5] == static
+    limit = BASE.with_(entropy_threshold=states[1]["s"][2])
+    assert got["s", 30] == redaction.redact_lines(spark.createDataFrame([("s", 30, odd)], SCHEMA), limit).first().redacted
+    # the last batch again, as after a crash: its commit is lost
+    (tmp_path / "work" / "checkpoint" / "commits" / "2").unlink()
+    (tmp_path / "work" / "checkpoint" / "commits" / ".2.crc").unlink(missing_ok=True)
+    run()
+    assert {(r.source, r.line_id): r.redacted for r in spark.read.parquet(f"{work}/redacted").collect()} == got
+    assert {r.source: (r.n, r.ready, r.threshold) for r in stream.baseline_state(spark, work, 2).collect()} == states[2]
+    stream.reset_sources(spark, work, 2, "s")
+    put(spark, src, [("s", 31, odd), ("t", 4, "letters4")])
+    run()
+    after = {r.source: (r.n, r.ready) for r in stream.baseline_state(spark, work, 3).collect()}
+    assert after["s"][1] is False and after["t"] == (states[2]["t"][0] + 1, False)
+    assert spark.read.parquet(f"{work}/redacted").where("source = 's' AND line_id = 31").first().redacted == static
+
+
+def test_first_lines_and_rounds(spark, monkeypatch):
+    """Bounds against sorting; sources whose first lines give too few samples go on until they have them or end."""
+    rng = random.Random(3)
+    rows = [(rng.choice("aab"), rng.randrange(400), "x") for _ in range(900)] + [(None, 1, "x"), ("c", None, "x"), ("d", 5, "x")]
+    got = {r.source: (r.bound, r.n_lines, r.more) for r in baseline.first_lines(spark.createDataFrame(rows, SCHEMA).repartition(7), 40).collect()}
+    for s in "abd":
+        ids = sorted(i for x, i, _ in rows if x == s)
+        assert got[s] == (ids[:40][-1], min(40, len(ids)), len(ids) > 40)
+    assert set(got) == set("abd")
+    monkeypatch.setattr(baseline, "GROWTH", 3)
+    lines = [("late", i, "a b c" if i < 100 else f"letters{i} wordy{i}") for i in range(130)] + [("never", i, "a b") for i in range(50)] + [("soon", i, f"wordy{i}") for i in range(30)]
+    found = baseline.samples(spark.createDataFrame(lines, SCHEMA).repartition(5), BASE.with_(adaptive_samples=20)).collect()
+    assert sorted((r.source, r.line_id, r.pos, r.rank) for r in found) == sorted(
+        [("late", 100 + k // 2, k % 2, k + 1) for k in range(20)] + [("soon", k, 0, k + 1) for k in range(20)]
+    )
+
+
+def test_baseline_does_not_exchange_the_text(spark):
+    """Even without broadcasts by size: only ids, samples and limits move."""
+    df = spark.range(400).selectExpr("concat('s', id % 3) AS source", "id AS line_id", "concat('letters', id, ' the long text') AS line")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o = BASE.with_(adaptive_samples=10, adaptive=True)
+        done = baseline.redact_adaptive(df, baseline.thresholds(baseline.samples(df, o), o), o)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Sort " not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_plans_stay_narrow(spark):
