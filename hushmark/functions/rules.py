@@ -7,7 +7,7 @@ from ..options import Options, Rule
 from .sqltext import lit
 
 # (?d): only \n ends a line, so $ and . behave alike on every platform's text.
-_DIALECT = "(?d)"
+DIALECT = "(?d)"
 
 
 def rule_hit(t: str, options: Options) -> str:
@@ -18,7 +18,7 @@ def rule_hit(t: str, options: Options) -> str:
     if not options.custom_rules:
         return "CAST(NULL AS STRUCT<pos: INT, ord: INT, name: STRING>)"
     hits = ", ".join(
-        f"named_struct('pos', regexp_instr({t}, {lit(_DIALECT + r.pattern)}), 'ord', {i}, 'name', {lit(r.name)})"
+        f"named_struct('pos', regexp_instr({t}, {lit(DIALECT + r.pattern)}), 'ord', {i}, 'name', {lit(r.name)})"
         for i, r in enumerate(options.custom_rules)
     )
     best = f"array_min(filter(array({hits}), h -> h.pos > 0))"
@@ -26,14 +26,22 @@ def rule_hit(t: str, options: Options) -> str:
 
 
 def validate_rules(spark, options: Options) -> None:
-    """Compile every user pattern once; a bad rule fails the job, a bad key pattern too."""
-    patterns = [r.pattern for r in (*options.custom_rules, *options.safe_rules)]
-    patterns += [f"(?i)(?:{p})" for p in options.key_patterns]
-    for p in patterns:
-        try:
-            spark.range(1).selectExpr(f"cast(id AS STRING) RLIKE {lit(_DIALECT + p)} AS ok").collect()
-        except Exception as err:
-            raise ValueError(f"invalid rule pattern {p!r}") from err
+    """Compile every user pattern, all in one statement that is worked out while it is planned: no task
+    starts. A bad rule raises, a bad key pattern too."""
+    given = [r.pattern for r in (*options.custom_rules, *options.safe_rules)]
+    given += [f"(?i)(?:{p})" for p in options.key_patterns]
+    if not given:
+        return
+    tried = lambda some: spark.sql("SELECT " + ", ".join(f"x RLIKE {lit(DIALECT + p)}" for p in some) + " FROM VALUES ('x') AS t(x)").collect()
+    try:
+        tried(given)
+    except Exception:
+        for p in given:
+            try:
+                tried([p])
+            except Exception as err:
+                raise ValueError(f"invalid rule pattern {p!r}") from err
+        raise
 
 
 __all__ = ["Rule", "rule_hit", "validate_rules"]

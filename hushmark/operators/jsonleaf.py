@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import jsontext, keys, pseudonym, tokens
+from ..functions.rules import validate_rules
 from ..functions.sqltext import fresh, let, lit
 from ..options import Options
 from ..plans import scan
@@ -86,6 +87,7 @@ def redact_json(df: DataFrame, column: str, options: Options, out: str = "redact
     Only the tokens of hidden values change. Everything else, order, repeated keys, blanks and the spelling of
     numbers, stays as written, so the result parses wherever the text did. Null stays null, an empty text empty.
     """
+    validate_rules(df.sparkSession, options)
     whole = f"array(CAST(named_struct('t', {_TEXT}, 'c', 'L', 'id', CAST(NULL AS INT), 'st', NULL) AS {jsontext.ITEM}))"
     judged = f"y.c IN ('s', 'n') AND {_is_secret('y', _NAMED, options)}"
     content = f"CASE y.c WHEN 'L' THEN y.t WHEN 's' THEN {jsontext.decoded('y.t')} END"

@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pseudonym
+from ..functions.rules import validate_rules
 from ..functions.sqltext import fresh
 from ..options import Options
 from ..plans import scan
 
 
 def redact_lines(lines: DataFrame, options: Options, column: str = "line", out: str = "redacted") -> DataFrame:
-    """Add the redacted form of a text column. Map-only, batch or streaming."""
+    """Add the redacted form of a text column. Map-only, batch or streaming. A pattern that does not compile raises here."""
+    validate_rules(lines.sparkSession, options)
     keyed = pseudonym.with_key(lines, options)
     return pseudonym.without_key(keyed.withColumn(out, F.expr(scan.redact(column, options))))
 
 
 def redact_documents(docs: DataFrame, options: Options, column: str = "text", out: str = "redacted") -> DataFrame:
     """Redact every line of a multi-line column in place: no explode, no regrouping."""
+    validate_rules(docs.sparkSession, options)
     ln = fresh("ln")
     body = f"array_join(transform(split({column}, '\\n'), {ln} -> {scan.redact(ln, options)}), '\\n')"
     keyed = pseudonym.with_key(docs, options)
@@ -30,6 +33,7 @@ def find(lines: DataFrame, options: Options, column: str = "line", keep_secret:
 
     ``mark`` is the placeholder. The secret itself is kept on request only.
     """
+    validate_rules(lines.sparkSession, options)
     others = [c for c in lines.columns if c != column]
     keyed = pseudonym.with_key(lines, options)
     rows = keyed.select(*others, F.explode(F.expr(scan.findings(column, options))).alias("f"))

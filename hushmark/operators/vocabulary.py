@@ -72,12 +72,13 @@ def with_rule(vocab: DataFrame, options: Options, token: str = "token") -> DataF
     return hit.select(*vocab.columns, F.col("hit.pos").alias("rule_pos"), F.col("hit.ord").alias("rule_ord"), F.col("hit.name").alias("rule"))
 
 
-def rule_table(df: DataFrame, json_column: str, kind: str) -> DataFrame:
-    """JSON rule lists → rows ``kind, ord, pattern, name``; list order is kept."""
+def rule_table(df: DataFrame, json_column: str, kind: str | None) -> DataFrame:
+    """JSON rule lists → rows ``kind, ord, pattern, name``; list order is kept. Without ``kind`` the table has it as a column."""
     parsed = F.from_json(json_column, "ARRAY<STRUCT<pattern: STRING, name: STRING>>", {"mode": "FAILFAST"})
     others = [c for c in df.columns if c != json_column]
     rows = df.select(*others, F.posexplode(parsed).alias("ord", "r"))
-    return rows.select(*others, F.lit(kind).alias("kind"), "ord", F.col("r.pattern").alias("pattern"), F.col("r.name").alias("name"))
+    named = [F.lit(kind).alias("kind")] if kind else []
+    return rows.select(*others, *named, "ord", F.col("r.pattern").alias("pattern"), F.col("r.name").alias("name"))
 
 
 def with_key_parts(vocab: DataFrame, options: Options, token: str = "token") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixed
 from .functions import jsontext, keys, pairs, pseudonym, scores, tokens
-from .operators import baseline, evaluate, jsonleaf, numbers, redaction, state, urls, vocabulary
+from .operators import baseline, evaluate, jsonleaf, numbers, redaction, ruletable, state, urls, vocabulary
 from .options import Options, Rule
 from .sources import derived, folders, lines
 from .streaming import stream
@@ -81,6 +81,32 @@ def src1_conversations(spark, sf):
     return lines.from_table(turns, F.col("role"), F.expr("conv_id * 1000 + turn"), F.col("text"))
 
 
+def text_folder(spark, sf, folder):
+    """The lines of the documents as one text file per language."""
+    rows = lines.split_documents(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    ordered = rows.repartition(1).sortWithinPartitions("lang", "doc_id", "line_no")
+    ordered.select("lang", F.col("line").alias("value")).write.partitionBy("lang").text(f"{folder}/in")
+    return f"{folder}/in"
+
+
+LANG = "regexp_extract(source, 'lang=([^/]+)/', 1) AS lang"
+
+
+@query
+def src1_text(spark, sf):
+    """Text files read as lines with their numbers."""
+    return lines.from_text(spark, text_folder(spark, sf, work_folder(spark, "src1"))).selectExpr(LANG, "line_id", "line")
+
+
+@query
+def src2_text(spark, sf):
+    """The same files as a stream, one file a batch, redacted, with the same ids."""
+    folder = work_folder(spark, "src2")
+    raw = lines.from_text_stream(spark, text_folder(spark, sf, folder), maxFilesPerTrigger="1")
+    stream.numbered_stream(raw, OPTIONS, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").selectExpr(LANG, "line_id", "redacted")
+
+
 @query
 def src2_stream(spark, sf):
     folder = work_folder(spark, "src2")
@@ -287,6 +313,33 @@ def rul2_logs(spark, sf):
     return vocabulary.with_rule(log_words(spark, sf), RULES)
 
 
+@query
+def rul3_part(spark, sf):
+    """Brands against the rule list of their part type, both as tables."""
+    words_of = table(spark, sf, "part").groupBy("p_type", F.col("p_brand").alias("token")).agg(F.count("*").alias("n"))
+    return ruletable.match_rules(words_of, src4_part(spark, sf).where("ord % 2 = 0"), "p_type")
+
+
+@query
+def rul3_safe(spark, sf):
+    """Words that some type's rule list would let through."""
+    lists = src4_part(spark, sf).where("name LIKE '%1%'").withColumn("kind", F.lit("safe"))
+    return ruletable.allowed_by(brand_words(spark, sf), lists)
+
+
+@query
+def rul3_customers(spark, sf):
+    """Lines redacted by rules that a table holds as JSON: some nations are hidden under their number, others may stay."""
+    nations = table(spark, sf, "nation").withColumn("kind", F.when(F.col("n_nationkey") % 3 == 0, "safe").otherwise("custom"))
+    rule = F.struct(F.concat(F.lit("^"), F.col("n_name"), F.lit("$")).alias("pattern"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("name"))
+    listed = nations.groupBy("kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", rule.alias("r")))), lambda x: x["r"])).alias("rules"))
+    rows = vocabulary.rule_table(listed, "rules", None)
+    options = ruletable.options_with_rules(rows, OPTIONS.with_(entropy_threshold=2.0))
+    people = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    said = people.select("c_custkey", F.concat(F.lit("row "), F.col("c_custkey"), F.lit(" of "), F.col("n_name")).alias("line"))
+    return redaction.redact_lines(said, options).drop("line")
+
+
 # --- keys and pairs ---------------------------------------------------------------
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from .folders import SMALL, written
+
 LINE_SCHEMA = "source STRING, line_id BIGINT, line STRING"
 
 
@@ -13,23 +15,44 @@ def without_carriage_return(line: Column) -> Column:
     return F.regexp_replace(line, r"\r\z", "")
 
 
-def from_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text files, one row per line of any length. ``line_id`` grows along each file."""
-    raw = spark.read.text(path, lineSep="\n")
+_BLOCK = ["file", "block"]
+
+
+def _raw(reader, path: str) -> DataFrame:
+    raw = reader.option("lineSep", "\n").load(path)
     return raw.select(
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("line_id"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         without_carriage_return(F.col("value")).alias("line"),
     )
 
 
+def numbered(raw: DataFrame) -> DataFrame:
+    """``source, line_id, line`` of a table of ``file, block, line`` as files are read: ``line_id`` is the number of the line in its file, from 0.
+
+    A large file is read in blocks. One pass counts the lines of each block, and the number of a line is those of the blocks
+    before it in its file plus its place in its own block. So ids do not depend on how files are cut
+    or dealt out, nor on the other files that are read with it.
+    """
+    placed = raw.withColumn("at", F.monotonically_increasing_id())
+    blocks = placed.groupBy(*_BLOCK).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(*_BLOCK, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    starts = written(starts, "blocks")
+    few = starts.count() <= SMALL
+    rows = placed.join(starts.hint("broadcast") if few else starts.hint("shuffle_hash"), _BLOCK)
+    return rows.select(F.col("file").alias("source"), (F.col("at") + F.col("shift")).alias("line_id"), "line")
+
+
+def from_text(spark: SparkSession, path: str) -> DataFrame:
+    """Text files, one row per line of any length; ``line_id`` counts the lines of each file, see ``numbered``."""
+    return numbered(_raw(spark.read.format("text"), path))
+
+
 def from_text_stream(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The same as an unbounded source; a stream has no line numbers."""
-    reader: DataStreamReader = spark.readStream.format("text").option("lineSep", "\n")
-    raw = reader.options(**options).load(path)
-    return raw.select(
-        F.col("_metadata.file_path").alias("source"), without_carriage_return(F.col("value")).alias("line")
-    )
+    """Text files as an unbounded source: ``file, block, line``. A batch holds whole files, so ``numbered`` gives its lines
+    the same ids as ``from_text`` does (``streaming.stream.numbered_stream``)."""
+    reader: DataStreamReader = spark.readStream.format("text").options(**options)
+    return _raw(reader, path)
 
 
 def from_table(df: DataFrame, source: Column, line_id: Column, text: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import baseline as bl
 from ..operators.redaction import redact_lines
 from ..options import Options
 from ..sources.folders import join_small, written
+from ..sources.lines import numbered
 
 
 def redact_stream(stream: DataFrame, options: Options, column: str = "line", out: str = "redacted") -> DataFrame:
@@ -23,6 +24,17 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, trigger: dict | None
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def numbered_stream(raw: DataFrame, options: Options, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """``lines.from_text_stream`` → redacted lines with their ids, one folder per batch, which a batch run again replaces."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        done = redact_lines(numbered(batch), options).drop("line")
+        done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 STATE = "source STRING, samples ARRAY<DOUBLE>, n BIGINT, threshold DOUBLE, ready BOOLEAN"
 
 

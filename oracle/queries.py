@@ -37,6 +37,9 @@ CONV = "SELECT role AS source, conv_id * 1000 + turn AS line_id, text AS line FR
 # --- sources, sinks
 ORACLE["src1_conversations"] = CONV
 ORACLE["src2_stream"] = f"SELECT source, count(*) AS n, sum(strlen(line))::BIGINT AS bytes FROM ({CONV}) GROUP BY 1"
+_FILES = "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) - 1 AS line_id, regexp_replace(line, '\\r$', '') AS line, doc_id, line_no FROM (" + duck.DOC_LINES + ")"
+ORACLE["src1_text"] = f"SELECT lang, line_id, line FROM ({_FILES})"
+ORACLE["src2_text"] = f"SELECT f.lang, f.line_id, done.redacted FROM ({_FILES}) f JOIN (" + DOC_LEAF + " SELECT line_id, redacted FROM done) done ON done.line_id = f.doc_id * 4294967296 + f.line_no"
 ORACLE["src3_documents"] = (
     "SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: x = '')) AS n_blank,"
     " md5(text) AS text_md5 FROM documents"
@@ -121,6 +124,13 @@ _RULED = duck.rule_ctes("words", "token", CUSTOM_RULES)
 ORACLE["rul1_part"] = _BRANDS.rstrip() + f", {_RULED} SELECT token, n, rule FROM best WHERE rn = 1"
 ORACLE["rul2_logs"] = LOG_WORDS.rstrip() + f", {_RULED} SELECT token, n, rule_pos::INT AS rule_pos, rule_ord::INT AS rule_ord, rule FROM best WHERE rn = 1"
 
+_LISTED = f"listed AS ({ORACLE['src4_part']})"
+ORACLE["rul3_part"] = f"WITH {_LISTED}, w AS (SELECT p_type, p_brand AS token, count(*) AS n FROM part GROUP BY ALL) SELECT p_type, token, n, 1 AS rule_pos, ord AS rule_ord, name AS rule FROM w JOIN listed USING (p_type) WHERE ord % 2 = 0 AND regexp_matches(token, pattern)"
+ORACLE["rul3_safe"] = _BRANDS.rstrip() + f", {_LISTED} SELECT token, n FROM words WHERE token IN (SELECT substr(pattern, 2, length(pattern) - 2) FROM listed WHERE contains(name, '1'))"
+ORACLE["rul3_customers"] = (
+    "SELECT c_custkey, 'row ' || c_custkey || ' of ' || CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE '[HIDDEN:N' || n_nationkey || ']' END AS redacted FROM customer JOIN nation ON c_nationkey = n_nationkey"
+)
+
 # --- keys and pairs
 _PARTS = (
     LOG_WORDS.rstrip()
