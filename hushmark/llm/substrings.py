@@ -382,11 +382,14 @@ def row_hash(seed: int) -> Column:
 def told_apart(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc, k, text``: no two different texts of one id (null ids count as one) have the same ``k``.
 
-    ``k`` is a 64-bit hash; a digest proves that it tells all rows of an id apart, or else another seed is taken.
+    ``k`` is a 64-bit hash. Where rows share an id and a hash, a digest proves that their texts are equal, or else
+    another seed is taken.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     for seed in count():
         keyed = rows.select("doc", row_hash(seed).alias("k"), "text")
+        if not keyed.groupBy("doc", "k").agg(F.count("*").alias("n")).where("n > 1").head(1):
+            return keyed
         proof = F.sha2(F.coalesce("text", F.lit("")), 256)
         clash = keyed.groupBy("doc", "k").agg(F.min(proof).alias("least"), F.max(proof).alias("most")).where("least <> most")
         if not clash.head(1):
