@@ -12,11 +12,19 @@ from ..options import Options
 from ..plans import scan
 
 
+def once(keyed: DataFrame, kept: list[str], body: str, out: str) -> DataFrame:
+    """``kept`` columns and ``out``, worked out once a row.
+
+    The value comes out of a generator. A filter on it stays above, where the optimiser would else move
+    copies of the whole expression into the filter and into the join with the key.
+    """
+    return keyed.select(*(F.col(f"`{c}`") for c in kept if c != out), F.explode(F.array(F.expr(body))).alias(out))
+
+
 def redact_lines(lines: DataFrame, options: Options, column: str = "line", out: str = "redacted") -> DataFrame:
     """Add the redacted form of a text column. Map-only, batch or streaming. A pattern that does not compile raises here."""
     validate_rules(lines.sparkSession, options)
-    keyed = pseudonym.with_key(lines, options)
-    return pseudonym.without_key(keyed.withColumn(out, F.expr(scan.redact(column, options))))
+    return once(pseudonym.with_key(lines, options), lines.columns, scan.redact(column, options), out)
 
 
 def redact_documents(docs: DataFrame, options: Options, column: str = "text", out: str = "redacted") -> DataFrame:
@@ -24,8 +32,7 @@ def redact_documents(docs: DataFrame, options: Options, column: str = "text", ou
     validate_rules(docs.sparkSession, options)
     ln = fresh("ln")
     body = f"array_join(transform(split({column}, '\\n'), {ln} -> {scan.redact(ln, options)}), '\\n')"
-    keyed = pseudonym.with_key(docs, options)
-    return pseudonym.without_key(keyed.withColumn(out, F.expr(body)))
+    return once(pseudonym.with_key(docs, options), docs.columns, body, out)
 
 
 def find(lines: DataFrame, options: Options, column: str = "line", keep_secret: bool = False) -> DataFrame:

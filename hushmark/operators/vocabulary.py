@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import keys, pairs, rules, scores, shapes, tokens
+from ..functions.sqltext import let
 from ..options import Options
 
 
@@ -98,7 +99,8 @@ def nested_tokens(lines: DataFrame, column: str = "line") -> DataFrame:
     """Tokens of every line and, level by level, of the quoted tokens inside:
     all other columns, ``level`` (0 the line itself), ``token``.
 
-    A text has no more levels than quote marks, so none is cut off.
+    A level takes a pair of quote marks off a token, so no token of the line has more levels than half its own
+    marks: the token with most bounds the rounds, however many quoted tokens a long line holds.
     """
     others = [c for c in lines.columns if c != column]
     inner = f"transform({tokens.tokens(tokens.unquote('x.token'))}, u -> named_struct('level', x.level + 1, 'token', u, 'open', {tokens.is_quoted('u')}))"
@@ -106,10 +108,11 @@ def nested_tokens(lines: DataFrame, column: str = "line") -> DataFrame:
         f"CASE WHEN x.open THEN concat(array(named_struct('level', x.level, 'token', x.token, 'open', false)), {inner}) ELSE array(x) END"
     )
     first = f"transform({tokens.tokens(column)}, u -> named_struct('level', 0, 'token', u, 'open', {tokens.is_quoted('u')}))"
-    rounds = f"octet_length({column}) - octet_length(translate({column}, '\"\\'', ''))"
-    every = (
-        f"aggregate(sequence(0, {rounds}), {first}, (items, r) -> CASE WHEN exists(items, y -> y.open)"
-        f" THEN flatten(transform(items, x -> {opened})) ELSE items END)"
+    marks = "(octet_length(y.token) - octet_length(translate(y.token, '\"\\'', '')))"
+    every = let(
+        first,
+        lambda top: f"aggregate(sequence(0, coalesce(array_max(transform({top}, y -> CASE WHEN y.open THEN {marks} DIV 2 ELSE 0 END)), 0)), {top},"
+        f" (items, r) -> CASE WHEN exists(items, y -> y.open) THEN flatten(transform(items, x -> {opened})) ELSE items END)",
     )
     rows = lines.select(*others, F.explode(F.expr(every)).alias("t"))
     return rows.select(*others, "t.level", "t.token").where(~F.expr(tokens.is_separator("token")))

@@ -237,8 +237,7 @@ def _cut_cards(line: str) -> str:
 
     def cut(r: str) -> str:
         def parts(ch: str) -> str:
-            lo = f"CASE WHEN i = 0 THEN 1 ELSE {r}[i - 1].stop END"
-            text = let(lo, lambda a: cards.cut(ch, a, f"{r}[i].start"))
+            text = cards.cut(ch, f"coalesce(get({r}, i - 1).stop, 1)", f"{r}[i].start")
             card = cards.cut(ch, f"{r}[i].start", f"{r}[i].stop")
             each = f"array({leaf(SEGMENT, c=text)}, {leaf(CARD, c=card)})"
             tail = leaf(SEGMENT, c=f"substring({line}, {r}[size({r}) - 1].stop)")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .functions import jsontext, keys, pairs, pseudonym, scores, tokens
+from .functions import jsontext, keys, pairs, pseudonym, scores, sqlfunctions, tokens
 from .operators import baseline, evaluate, jsonleaf, numbers, redaction, ruletable, state, urls, vocabulary
 from .options import Options, Rule
 from .sources import derived, folders, lines
@@ -26,7 +26,7 @@ CUSTOM_RULES = (
     Rule("^[a-f0-9]{9,}", "Hex"),
 )
 RULES = OPTIONS.with_(custom_rules=CUSTOM_RULES, safe_rules=SAFE_RULES)
-LOW_LIMIT = 3.3
+LOW_LIMIT, HIGH_LIMIT = 3.3, 5.2
 PATTERNS = OPTIONS.with_(key_patterns=("^user", "context_?id"))
 
 
@@ -543,6 +543,34 @@ def red4_rules(spark, sf):
     return done.select("line_id", "redacted")
 
 
+def conversation_view(spark, sf):
+    """The conversations as a view, with a login and a card put behind each text, and the functions of SQL."""
+    sqlfunctions.register(spark, OPTIONS)
+    turns = table(spark, sf, "conversations")
+    tail = "concat(text, ' password: ', left(md5(text), 9), ' card 4012888888881881 ', left(upper(md5(text)), 4), substr(md5(text), 9, 12))"
+    turns.withColumn("text", F.expr(tail)).createOrReplaceTempView("said")
+
+
+@query
+def fn1_conversations(spark, sf):
+    """Plain SQL: redaction, scores and card finder as functions."""
+    conversation_view(spark, sf)
+    return spark.sql("""
+        SELECT conv_id, turn, hush_redact(text) AS redacted, size(hush_cards(text)) AS n_cards, hush_mark(role) AS role_mark,
+               round(hush_complexity(text), 6) AS complexity, hush_bigram(text) AS bigram
+        FROM said WHERE text IS NOT NULL""")
+
+
+@query
+def fn2_conversations(spark, sf):
+    """Plain SQL: what is hidden, by role and kind."""
+    conversation_view(spark, sf)
+    return spark.sql("""
+        SELECT role, f.kind, count(*) AS n, count(DISTINCT f.mark) AS n_marks
+        FROM (SELECT role, hush_findings(text) AS found FROM said WHERE text IS NOT NULL) LATERAL VIEW explode(found) t AS f
+        GROUP BY role, f.kind""")
+
+
 @query
 def red5_stream(spark, sf):
     folder = work_folder(spark, "red5")
@@ -699,7 +727,9 @@ def evl1_logs(spark, sf):
 
 @query
 def evl2_logs(spark, sf):
-    return evaluate.mistakes(labelled(spark, sf)).select("line_id", "mistake")
+    """Leaks and false positives of a run whose limit is too high."""
+    done = redaction.redact_lines(order_logs(spark, sf), OPTIONS.with_(entropy_threshold=HIGH_LIMIT))
+    return evaluate.mistakes(done).select("line_id", "mistake")
 
 
 @query

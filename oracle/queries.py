@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from hushmark import fixed
-from hushmark.registry import CUSTOM_RULES, LOW_LIMIT, OPTIONS, RULES, SHAPE_NAMES
+from hushmark.registry import CUSTOM_RULES, HIGH_LIMIT, LOW_LIMIT, OPTIONS, RULES, SHAPE_NAMES
 
 from . import duck
 from .duck import s
@@ -64,13 +64,12 @@ ORACLE["tok4_logs"] = LOG_WORDS + f"SELECT token, lower({duck.clean('token')}) A
 
 
 def _nested() -> str:
-    ctes = [LOGS, f"lv0 AS MATERIALIZED (SELECT unnest(regexp_extract_all(line, {s(duck.TOKEN)})) AS token FROM logs)"]
-    for k in range(1, 6):
-        ctes.append(
-            f"lv{k} AS MATERIALIZED (SELECT unnest(regexp_extract_all({duck.unquote('token')}, {s(duck.TOKEN)})) AS token FROM lv{k - 1} WHERE {duck.is_quoted('token')})"
-        )
-    union = " UNION ALL ".join(f"SELECT {k} AS level, token FROM lv{k}" for k in range(6))
-    return f"WITH {', '.join(ctes)} SELECT level, token, count(*) AS n FROM ({union}) WHERE NOT {IS_SEP} GROUP BY ALL"
+    """As deep as the lines are."""
+    return (
+        f"WITH RECURSIVE {LOGS}, lv(level, token) AS (SELECT 0, unnest(regexp_extract_all(line, {s(duck.TOKEN)})) FROM logs"
+        f" UNION ALL SELECT level + 1, unnest(regexp_extract_all({duck.unquote('token')}, {s(duck.TOKEN)})) FROM lv WHERE {duck.is_quoted('token')})"
+        f" SELECT level, token, count(*) AS n FROM lv WHERE NOT {IS_SEP} GROUP BY ALL"
+    )
 
 
 ORACLE["tok5_logs"] = _nested()
@@ -236,6 +235,18 @@ ORACLE["red7_orders"] = (
     f"SELECT mark, count(*) AS n_secrets FROM (SELECT DISTINCT secret, {duck.mark('secret', OPTIONS)} AS mark FROM (SELECT l_orderkey || '-' || l_linenumber AS secret FROM lineitem)) GROUP BY 1 HAVING count(*) > 1"
 )
 
+# --- functions of SQL: every text as one line
+_TALK = (
+    "SELECT conv_id * 1000 + turn AS line_id, conv_id, turn, role, text || ' password: ' || left(md5(text), 9) || ' card 4012888888881881 ' || left(upper(md5(text)), 4) || substr(md5(text), 9, 12) AS line"
+    " FROM conversations WHERE text IS NOT NULL"
+)
+_TALK_LEAF = duck.leaf_ctes(_TALK, OPTIONS)
+ORACLE["fn1_conversations"] = _TALK_LEAF + (
+    f" SELECT conv_id, turn, redacted, coalesce(c.n, 0)::INT AS n_cards, {duck.mark('role', OPTIONS)} AS role_mark, round({duck.score('line')}, 6) AS complexity, ({duck.bigram('line')})::DOUBLE AS bigram"
+    " FROM done LEFT JOIN (SELECT line_id, count(*) AS n FROM ranges GROUP BY 1) c USING (line_id)"
+)
+ORACLE["fn2_conversations"] = _TALK_LEAF + " SELECT role, kind, count(*) AS n, count(DISTINCT mark) AS n_marks FROM found GROUP BY ALL"
+
 # --- JSON
 def _json(src: str, key: str, col: str) -> str:
     return (
@@ -336,7 +347,7 @@ _CONF = (
     " count_if(label = 'SECRET' AND line = redacted) AS fn FROM done GROUP BY 1"
 )
 ORACLE["evl1_logs"] = "SELECT *, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM (" + LABEL_LEAF + _CONF + ")"
-ORACLE["evl2_logs"] = LABEL_LEAF + (
+ORACLE["evl2_logs"] = duck.leaf_ctes(duck.ORDER_LOGS, OPTIONS.with_(entropy_threshold=HIGH_LIMIT)) + (
     " SELECT line_id, CASE WHEN label = 'SECRET' THEN 'leak' ELSE 'false_positive' END AS mistake FROM done"
     " WHERE (label = 'SECRET' AND line = redacted) OR (label = 'SAFE' AND line <> redacted AND contains(redacted, '[HIDDEN'))"
 )

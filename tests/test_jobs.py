@@ -232,6 +232,43 @@ def test_plans_stay_narrow(spark):
         assert golden.SALT not in plan._jdf.queryExecution().toString()
 
 
+def test_redaction_is_worked_out_once(spark):
+    """Filters and other uses of the redacted column do not copy its expression."""
+    df = spark.range(10).selectExpr("concat('password=w0lf', id) AS line", "id AS line_id")
+    done = redaction.redact_lines(df, BASE)
+    copies = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("'[HIDDEN:'") + d._jdf.queryExecution().optimizedPlan().toString().count("[HIDDEN:, ")
+    used = done.where("redacted LIKE '%]' AND NOT redacted <=> line").selectExpr("redacted", "length(redacted) AS n", "upper(redacted) AS u")
+    assert copies(done) > 0 and copies(used) == copies(done)
+    assert used.count() == 10
+
+
+def test_nesting_as_deep_as_the_text(spark):
+    """Each level against plain taking off of quotes; long lines of many quoted words stay linear."""
+    deep = "x"
+    for k in range(9):
+        deep = f"\"a{k} '{deep}' b\"" if k % 2 else f"'{deep}'"
+    rows = [(1, deep), (2, "\"p\" 'q \"r\"' s"), (3, "'w' " * 20_000)]
+    got = vocabulary.nested_tokens(spark.createDataFrame(rows, "i INT, line STRING"))
+    two = sorted((r.level, r.token) for r in got.where("i = 2").collect())
+    assert two == [(0, "\"p\""), (0, "'q \"r\"'"), (0, "s"), (1, "\"r\""), (1, "p"), (1, "q"), (2, "r")]
+    assert got.where("i = 1").agg(F.max("level")).first()[0] >= 1
+    assert got.where("i = 3").count() == 40_000
+
+
+def test_functions_of_sql(spark):
+    from hushmark.functions import sqlfunctions
+
+    names = sqlfunctions.register(spark, BASE)
+    spark.createDataFrame([(1, "token=w0lfpack 4012888888881881"), (2, None)], "id INT, line STRING").createOrReplaceTempView("fn_lines")
+    df = spark.sql(f"SELECT id, {', '.join(f'{n}(line) AS {n}' for n in names)} FROM fn_lines")
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and golden.SALT not in plan
+    one, none = df.orderBy("id").collect()
+    want = redaction.redact_lines(spark.table("fn_lines"), BASE).where("id = 1").first().redacted
+    assert one.hush_redact == want and [f.kind for f in one.hush_findings] == ["key", "card"] and one.hush_cards[0].start == 16
+    assert all(none[n] is None for n in names)
+
+
 def test_correlation_of_a_hot_secret(spark):
     df = spark.range(3000).selectExpr("concat('src', id % 3) AS source", "id AS line_id", "IF(id % 3 = 0, 'token=hotSecret1', concat('token=cold', id)) AS line")
     top = redaction.correlate(redaction.find(df, BASE)).orderBy(F.desc("n")).first()
