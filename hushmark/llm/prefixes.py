@@ -46,7 +46,8 @@ def rebuilt(convs: DataFrame) -> DataFrame:
 class Shard:
     """Conversations in ascending order of id, one bit each."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = SHARD_CONVERSATIONS) -> None:
+        self.most = most
         self.ids: list[int] = []
         self.said: list[list[bytes]] = []
         self.postings: dict[tuple[int, bytes], int] = defaultdict(int)  # (position, turn) -> conversations
@@ -65,7 +66,7 @@ class Shard:
             self.bytes[x["digest"]] = x["bytes"]
 
     def full(self) -> bool:
-        return len(self.ids) >= SHARD_CONVERSATIONS or self.turns >= SHARD_TURNS
+        return len(self.ids) >= self.most or self.turns >= SHARD_TURNS
 
     def nodes(self) -> Iterator[list]:
         """``place, size, up, key, depth, n, conv_id, bytes, ends`` of each node, parents first.
@@ -105,11 +106,11 @@ NODES = "shard long, place long, size long, up long, key binary, depth long, n l
 _KINDS = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 4 + [pa.binary()]
 
 
-def shard_nodes(convs: DataFrame) -> DataFrame:
+def shard_nodes(convs: DataFrame, most: int = SHARD_CONVERSATIONS) -> DataFrame:
     """The nodes of every shard's own trie; shards are ranges of ids and numbered in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard = TaskContext.get().partitionId() << 32, Shard()
+        number, shard = TaskContext.get().partitionId() << 32, Shard(most)
 
         def emptied() -> Iterator[pa.RecordBatch]:
             rows = [[number, *node] for node in shard.nodes()]
@@ -122,7 +123,7 @@ def shard_nodes(convs: DataFrame) -> DataFrame:
                 shard.add(conv_id, said.as_py())
                 if shard.full():
                     yield from emptied()
-                    number, shard = number + 1, Shard()
+                    number, shard = number + 1, Shard(most)
         if shard.ids:
             yield from emptied()
 
@@ -174,11 +175,11 @@ def end_lists(nodes: DataFrame) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key", "shard").select("key", "ends").mapInArrow(run, "key binary, ends_sha256 string")
 
 
-def prefix_trie(convs: DataFrame) -> DataFrame:
+def prefix_trie(convs: DataFrame, most: int = SHARD_CONVERSATIONS) -> DataFrame:
     """The trie of ``conversations`` or ``rebuilt``: a row per distinct sequence of first turns.
 
     ``conv_id`` (smallest member), ``depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens,
-    ends_sha256``. Shards are ranges of ids, at most ``SHARD_CONVERSATIONS`` long, so a first turn or a whole
+    ends_sha256``. Shards are ranges of ids, at most ``most`` long, so a first turn or a whole
     conversation that a third of all share is spread over all shards. Each shard builds its trie from bitmaps;
     a node is known by a 128-bit digest of its turns, and meets its twins of other shards as one small row from each.
     The shard of the smallest member owns the node: it alone counts the node as a child, as a leaf and as saved from
@@ -187,7 +188,7 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
 
     Ids are whole numbers. An empty table has no node, not even the root.
     """
-    nodes = written(shard_nodes(convs), "nodes")
+    nodes = written(shard_nodes(convs, most), "nodes")
     twins = Window.partitionBy("key")
     known = nodes.drop("ends").withColumns(
         {
@@ -206,7 +207,7 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
     return whole.join(end_lists(nodes), "key", "left").withColumn("ends_sha256", ends)
 
 
-def conversation_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def conversation_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = SHARD_CONVERSATIONS) -> DataFrame:
     """``prefix_trie`` over the rebuilt conversations of a table of turns.
 
     Turns are ordered by ``turn``, nulls first, ties by digest. Null role and text are empty. Rows without a
@@ -215,5 +216,5 @@ def conversation_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "t
     names.
     """
     whole = rebuilt(written(conversations(turns, conv_id, turn, role, text), "turns"))
-    return prefix_trie(written(whole, "rebuilt"))
+    return prefix_trie(written(whole, "rebuilt"), most)
 

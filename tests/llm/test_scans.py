@@ -1,6 +1,9 @@
 """Secrets, personal data, the classifier and the pipeline."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,3 +117,42 @@ def test_pipeline_on_odd_rows(shipped, odd):
         docs = corpus_pipeline.written(stage(shipped, docs, SF), "odd")
         assert docs.columns == odd.columns
     assert docs.count() >= 5
+
+
+def plain_entropy(word, window):
+    """Hull of the windows that reach the class's bits, and the highest entropy."""
+    bits = next(b for p, b in leaks.CLASSES if re.search(p, word))
+    first = last = None
+    best = 0.0
+    for a in range(len(word) - window + 1):
+        counts = Counter(word[a : a + window])
+        h = -sum(n / window * math.log2(n / window) for n in counts.values())
+        best = max(best, h)
+        if bits is not None and h >= bits - 1e-9:
+            first, last = (a if first is None else first), a + window
+    return first, last, best
+
+
+def test_window_entropy_against_a_plain_scan(shipped):
+    rng = random.Random(12)
+    sets = ["0123456789", "0123456789abcdef", "abcXYZ789", "aA1bB2cC3dD4eE5fF6gG7hH8", leaks.ALPHABET]
+    words = ["".join(rng.choices(rng.choice(sets), k=rng.randrange(20, 90))) + rng.choice(["", "a" * 30]) for _ in range(150)]
+    df = shipped.createDataFrame(list(enumerate(words)), "i INT, w STRING").select("i", F.expr(leaks.window_entropy("w", 20)).alias("h"))
+    for r in df.collect():
+        first, last, best = plain_entropy(words[r.i], 20)
+        assert (r.h.first, r.h.last) == (first, last), words[r.i]
+        assert abs(r.h.best - best) < 1e-9
+
+
+def test_entropy_adds_spans_and_the_allow_list_takes_them(shipped):
+    random_one = "kD8fQz2LmX7wRt4VbN9yHs3J"
+    texts = [f"see {random_one} here", "see abcdefghijklmnopqrstuvwxyz here", "id 1b9d6bcd-bbfd-4b2d-9b5d-ab8dfbbd4bed x", f"see example{random_one}", "a" * 40, f"token={random_one}"]
+    rows = leaks.find_secrets(shipped.createDataFrame(list(enumerate(texts)), "i INT, text STRING")).orderBy("i").collect()
+    assert [[(s.start, s.end) for s in r.extra if s.kind == 3] for r in rows[:5]] == [[(4, 28)], [], [], [], []]
+    assert [s.kind for s in rows[5].base] == [0]
+
+
+def test_numbers_that_only_context_backs(shipped):
+    texts = ["ssn 123-45-6789", "call 123-45-6789", "social security: 000-45-6789", "iban DE89370400440532013000", "iban DE88370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    rows = private.find_personal(shipped.createDataFrame(list(enumerate(texts)), "i INT, text STRING")).orderBy("i").collect()
+    assert [[(private.KINDS[s.kind], s.score) for s in r.extra] for r in rows] == [[("ssn", 0.8)], [], [], [("iban", 1.0)], [], [("iban", 0.8)]]

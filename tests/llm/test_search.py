@@ -194,8 +194,8 @@ def nodes(df):
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize(("convs", "parts"), [(4096, 8), (3, 20)])
-def test_trie_matches_brute_force(shipped, monkeypatch, convs, parts):
+@pytest.mark.parametrize("convs", [4096, 1, 3])
+def test_trie_matches_brute_force(shipped, convs):
     """Shards of three conversations share nodes, so owners and sums over shards matter."""
     rng = random.Random(7)
     turns = []
@@ -204,9 +204,10 @@ def test_trie_matches_brute_force(shipped, monkeypatch, convs, parts):
         for t in range(rng.randrange(0, 12)):
             turns.append((c, t, ["user", "assistant"][t % 2], f"same {t}" if same else f"é {rng.randrange(3)}"))
     turns += [(1000, t, "user", f"long {t // 2}") for t in range(400)]
-    monkeypatch.setattr(prefixes, "SHARD_CONVERSATIONS", convs)
-    df = shipped.createDataFrame(rng.sample(turns, len(turns)), TURNS).repartition(parts)
-    assert nodes(prefixes.conversation_trie(df)) == trie(turns)
+    df = shipped.createDataFrame(rng.sample(turns, len(turns)), TURNS).repartition(8)
+    built = prefixes.prefix_trie(prefixes.rebuilt(prefixes.conversations(df)), convs)
+    assert nodes(built) == trie(turns)
+    assert prefixes.shard_nodes(prefixes.rebuilt(prefixes.conversations(df)), convs).select("shard").distinct().count() >= 150 // convs
 
 
 def test_trie_of_the_table(shipped):
