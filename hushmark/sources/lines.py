@@ -78,8 +78,17 @@ def join_lines(lines: DataFrame, doc_id: str, line: str = "line") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few files: a no-op wherever the scan already
-    has a task per core, as any large input does."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The rows of a table dealt out so that the work on them uses all cores and no task grows with the table.
+
+    A scan's tasks are cut by bytes, but a file's row group is read by one of them, however few bytes its rows take: of a
+    narrow file with row groups of a million rows most tasks get nothing. So the rows of each task are counted, from
+    the files' footers, and dealt out again, ``TASK_ROWS`` to a task, unless they already lie evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    held = df.select(F.spark_partition_id().alias("task")).groupBy("task").count()
+    full, most, total = held.agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if full >= cores and most <= 2 * TASK_ROWS:
+        return df
+    return df.repartition(max(cores, -(-total // TASK_ROWS)))
+TASK_ROWS = 1 << 15  # rows of a table that one task takes, about
+
+
