@@ -360,8 +360,9 @@ def key2_logs(spark, sf):
 
 @query
 def key3_logs(spark, sf):
-    """Keys that only the key patterns make sensitive."""
-    parts = vocabulary.with_key_parts(log_words(spark, sf), PATTERNS).where("sensitive")
+    """Keys that only the key patterns make sensitive, in log lines that name user and context."""
+    traced = log_lines(spark, sf).selectExpr(f"{derived.TRACED_SQL} AS line")
+    parts = vocabulary.with_key_parts(vocabulary.vocabulary(traced), PATTERNS).where("sensitive")
     return parts.where(~F.expr(keys.holds_fragment("lower(key)", OPTIONS))).groupBy("key").agg(F.sum("n").alias("n"))
 
 

@@ -39,6 +39,12 @@ LABEL_SQL = f"CASE k % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN '{kind}'" for
 LINE_SQL = f"CASE k % {len(SHAPES)} " + " ".join(f"WHEN {i} THEN {line}" for i, (_, line) in enumerate(SHAPES)) + " END"
 SECRET_SQL = "concat(substr(h, 1, 7), upper(substr(h, 8, 7)), 'Zq', substr(h, 15, 3))"
 
+# A log line with the user and the context of its request before it.
+TRACED_SQL = (
+    "'username=user_' || substr(md5(CAST(line_id AS VARCHAR(20))), 1, 4) || ' context_id=' || CAST(line_id AS VARCHAR(20))"
+    " || ' user=' || CAST(line_id % 10 AS VARCHAR(20)) || ' ' || line"
+)
+
 
 def order_logs(orders: DataFrame) -> DataFrame:
     """``source, line_id, line, label``: one log line per order."""

@@ -140,7 +140,8 @@ _PARTS = (
 )
 ORACLE["key1_logs"] = _PARTS + f"SELECT key, sum(n)::BIGINT AS n FROM keyed WHERE {duck.sensitive('key')} GROUP BY 1"
 ORACLE["key2_logs"] = _PARTS + f"SELECT key, {duck.sensitive('key')} AS sensitive, sum(n)::BIGINT AS n FROM keyed WHERE strlen(key) > 15 AND {duck.fragment('key')} GROUP BY ALL"
-ORACLE["key3_logs"] = _PARTS + f"SELECT key, sum(n)::BIGINT AS n FROM keyed WHERE NOT {duck.fragment('key')} AND regexp_matches(key, '(?i)(^user|context_?id)') GROUP BY 1"
+_TRACED = _PARTS.replace(vocab("words", "logs"), vocab("words", f"(SELECT {derived.TRACED_SQL} AS line FROM logs)"))
+ORACLE["key3_logs"] = _TRACED + f"SELECT key, sum(n)::BIGINT AS n FROM keyed WHERE NOT {duck.fragment('key')} AND regexp_matches(key, '(?i)(^user|context_?id)') GROUP BY 1"
 ORACLE["key4_logs"] = (
     f"WITH {LOGS}, {vocab('words', 'logs', 'source')} SELECT source, lower({duck.clean('token')}) AS word, sum(n)::BIGINT AS n FROM words"
     f" WHERE lower({duck.clean('token')}) IN {duck.word_list(fixed.CONTEXT_WORDS)} GROUP BY ALL"

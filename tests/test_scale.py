@@ -28,3 +28,9 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sum(r["count"] for r in held) == n
     assert max(r["count"] for r in held) <= 2 * line_source.TASK_ROWS
+
+
+def test_key_patterns_find_their_keys(spark, tmp_path):
+    orders(tmp_path, 38)
+    found = {r.key: r.n for r in registry.QUERIES["key3_logs"](spark, str(tmp_path)).collect()}
+    assert found == {"username": 38, "context_id": 38, "user": 38}
