@@ -81,10 +81,16 @@ def src1_conversations(spark, sf):
     return lines.from_table(turns, F.col("role"), F.expr("conv_id * 1000 + turn"), F.col("text"))
 
 
-def text_folder(spark, sf, folder):
-    """The lines of the documents as one text file per language."""
-    rows = lines.split_documents(table(spark, sf, "documents"), "doc_id", "text", "lang")
-    ordered = rows.repartition(1).sortWithinPartitions("lang", "doc_id", "line_no")
+FILE_BYTES = 1 << 28
+
+
+def text_folder(spark, sf, folder, file_bytes=FILE_BYTES):
+    """The lines of the documents as one text log per language, in files of about ``file_bytes`` that follow each other by name."""
+    docs = table(spark, sf, "documents")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = lines.split_documents(docs, "doc_id", "text", "lang")
+    order = ("lang", "doc_id", "line_no")
+    ordered = rows.repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
     ordered.select("lang", F.col("line").alias("value")).write.partitionBy("lang").text(f"{folder}/in")
     return f"{folder}/in"
 
@@ -95,7 +101,8 @@ LANG = "regexp_extract(source, 'lang=([^/]+)/', 1) AS lang"
 @query
 def src1_text(spark, sf):
     """Text files read as lines with their numbers."""
-    return lines.from_text(spark, text_folder(spark, sf, work_folder(spark, "src1"))).selectExpr(LANG, "line_id", "line")
+    found = lines.from_text(spark, text_folder(spark, sf, work_folder(spark, "src1")))
+    return lines.through_folders(found).selectExpr(LANG, "line_id", "line")
 
 
 @query
@@ -104,7 +111,7 @@ def src2_text(spark, sf):
     folder = work_folder(spark, "src2")
     raw = lines.from_text_stream(spark, text_folder(spark, sf, folder), maxFilesPerTrigger="1")
     stream.numbered_stream(raw, OPTIONS, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").selectExpr(LANG, "line_id", "redacted")
+    return lines.through_folders(spark.read.parquet(f"{folder}/out")).selectExpr(LANG, "line_id", "redacted")
 
 
 @query

@@ -55,6 +55,17 @@ def from_text_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return _raw(reader, path)
 
 
+def through_folders(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``numbered`` files, each with all its lines, numbered on from file to file of a folder by name, as a log goes
+    on in its next file. Only a count per file is worked out and joined."""
+    files = rows.groupBy("source").agg(F.count("*").alias("n"))
+    folder = F.regexp_replace("source", "/[^/]*$", "")
+    earlier = Window.partitionBy(folder).orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_"))
+    placed = join_small(rows, written(starts, "files"), "source")
+    return placed.withColumn("line_id", F.col("line_id") + F.col("before_")).select(rows.columns)
+
+
 def from_table(df: DataFrame, source: Column, line_id: Column, text: Column) -> DataFrame:
     """A table that already holds one line per row."""
     return df.select(

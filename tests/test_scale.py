@@ -34,3 +34,23 @@ def test_key_patterns_find_their_keys(spark, tmp_path):
     orders(tmp_path, 38)
     found = {r.key: r.n for r in registry.QUERIES["key3_logs"](spark, str(tmp_path)).collect()}
     assert found == {"username": 38, "context_id": 38, "user": 38}
+
+
+def documents(path):
+    rows = [(i, "".join(f"{i} line {j}\n" for j in range(i % 7)) + "end", ("de", "en", None)[i % 3], "s") for i in range(60)]
+    names = ("doc_id", "text", "lang", "source")
+    pq.write_table(pa.table({n: list(v) for n, v in zip(names, zip(*rows))}), path / "documents.parquet")
+    return rows
+
+
+def test_a_log_goes_on_through_its_files(spark, tmp_path, monkeypatch):
+    rows = documents(tmp_path)
+    monkeypatch.setattr(registry.text_folder, "__defaults__", (500,))
+    folder = registry.text_folder(spark, str(tmp_path), str(tmp_path / "made"))
+    assert spark.read.text(folder).select(F.input_file_name()).distinct().count() > 3  # one would do for each language
+    want = {}
+    for _, text, lang, _ in rows:
+        want.setdefault(lang or "__HIVE_DEFAULT_PARTITION__", []).extend(text.split("\n"))
+    for name, column in (("src1_text", "line"), ("src2_text", "redacted")):
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r.lang, r.line_id, r[column]) for r in got) == sorted((k, i, x) for k, v in want.items() for i, x in enumerate(v))
