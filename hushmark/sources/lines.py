@@ -100,6 +100,3 @@ def spread(df: DataFrame) -> DataFrame:
     if full >= cores and most <= 2 * TASK_ROWS:
         return df
     return df.repartition(max(cores, -(-total // TASK_ROWS)))
-TASK_ROWS = 1 << 15  # rows of a table that one task takes, about
-
-

@@ -10,7 +10,7 @@ from ..operators import baseline as bl
 from ..operators.redaction import redact_lines
 from ..options import Options
 from ..sources.folders import join_small, written
-from ..sources.lines import numbered
+from ..sources.lines import numbered, spread
 
 
 def redact_stream(stream: DataFrame, options: Options, column: str = "line", out: str = "redacted") -> DataFrame:
@@ -98,7 +98,7 @@ def adaptive_stream(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         old = baseline_state(spark, folder, batch_id - 1)
-        rows = written(batch, "batch")
+        rows = spread(written(batch, "batch"))
         settled = written(old.where("ready").select("source", "threshold"), "settled")
         learning = join_small(rows, settled, "source").where("threshold IS NULL").drop("threshold")
         have = old.where("NOT ready").select("source", F.col("n").alias("have"))

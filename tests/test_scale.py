@@ -54,3 +54,14 @@ def test_a_log_goes_on_through_its_files(spark, tmp_path, monkeypatch):
     for name, column in (("src1_text", "line"), ("src2_text", "redacted")):
         got = registry.QUERIES[name](spark, str(tmp_path)).collect()
         assert sorted((r.lang, r.line_id, r[column]) for r in got) == sorted((k, i, x) for k, v in want.items() for i, x in enumerate(v))
+
+
+def test_batches_are_read_from_many_files(spark, tmp_path, monkeypatch):
+    """Three batches, none through a single file."""
+    documents(tmp_path)
+    folder = str(tmp_path / "work")
+    monkeypatch.setattr(registry, "work_folder", lambda spark, name: folder)
+    got = registry.QUERIES["bas5_stream"](spark, str(tmp_path)).collect()
+    assert {(r.line_id >> 32) % 3 - r.batch for r in got} == {0} and len({r.line_id for r in got}) == len(got)
+    read = spark.read.parquet(f"{folder}/in").selectExpr("line_id DIV 4294967296 % 3 AS part", "input_file_name() AS name")
+    assert min(r["count"] for r in read.distinct().groupBy("part").count().collect()) > 1
