@@ -78,7 +78,7 @@ def counted(keys: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int
 
     parts = keys.select("high", "low", "size").mapInArrow(run, "gap long, bytes long, rows long, low binary, high binary")
     sums = parts.groupBy("gap").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return {r.gap: (r.bytes, r.rows, int.from_bytes(r.low, "big"), int.from_bytes(r.high, "big")) for r in sums.toLocalIterator()}
+    return {r.gap: (r.bytes, r.rows, int.from_bytes(r.low, "big"), int.from_bytes(r.high, "big")) for r in sums.coalesce(1).toLocalIterator()}
 
 
 def splitters(keys: DataFrame, targets: list[tuple[int, int]]) -> list[Edge]:

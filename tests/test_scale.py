@@ -65,3 +65,21 @@ def test_batches_are_read_from_many_files(spark, tmp_path, monkeypatch):
     assert {(r.line_id >> 32) % 3 - r.batch for r in got} == {0} and len({r.line_id for r in got}) == len(got)
     read = spark.read.parquet(f"{folder}/in").selectExpr("line_id DIV 4294967296 % 3 AS part", "input_file_name() AS name")
     assert min(r["count"] for r in read.distinct().groupBy("part").count().collect()) > 1
+
+
+def test_counts_come_in_one_job(spark):
+    """However many partitions a shuffle has, a round of counting is not a job for each."""
+    keys = spark.range(2000).selectExpr("xxhash64(id) AS high", "id AS low", "10L AS size").repartition(4)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("counted", "one round")
+    try:
+        found = sharding.counted(keys, [1 << 127])
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(v[1] for v in found.values()) == 2000
+    assert len(jobs) < 8
