@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
-from .folders import SMALL, written
+from .folders import SMALL, join_small, written
 
 LINE_SCHEMA = "source STRING, line_id BIGINT, line STRING"
 
@@ -88,6 +88,9 @@ def join_lines(lines: DataFrame, doc_id: str, line: str = "line") -> DataFrame:
     )
 
 
+TASK_ROWS = 1 << 15  # rows of a table that one task takes, about
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a table dealt out so that the work on them uses all cores and no task grows with the table.
 
