@@ -94,7 +94,12 @@ def items(text: str) -> str:
         )
 
     body = let(kinds, lambda k: folded(k))
-    return f"CASE WHEN {text} RLIKE {lit(chr(92) + 'A[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]*+' + chr(92) + '{')} THEN {body} END"
+    return f"CASE WHEN {opens(text)} THEN {body} END"
+
+
+def opens(text: str) -> str:
+    """Does the text start with a brace?"""
+    return f"{text} RLIKE {lit(chr(92) + 'A[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]*+' + chr(92) + '{')}"
 
 
 def decoded(token: str) -> str:

@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from ..functions import jsontext, keys, pseudonym, tokens
 from ..functions.rules import validate_rules
 from ..functions.sqltext import fresh, let, lit
+from ..llm.common import ship
 from ..options import Options
-from ..plans import scan
+from ..plans import direct, scan
 
-_TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED = (f"hush_{c}" for c in ("text", "items", "named", "parts", "scanned"))
+_SETTLED, _TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED = (f"hush_{c}" for c in ("settled", "text", "items", "named", "parts", "scanned"))
 
 
 def leaves(df: DataFrame, column: str) -> DataFrame:
@@ -86,6 +87,8 @@ def redact_json(df: DataFrame, column: str, options: Options, out: str = "redact
 
     Only the tokens of hidden values change. Everything else, order, repeated keys, blanks and the spelling of
     numbers, stays as written, so the result parses wherever the text did. Null stays null, an empty text empty.
+
+    Texts that plain Python can settle (``plans/direct.py``) are done there, the others by the expressions, with the same result.
     """
     validate_rules(df.sparkSession, options)
     whole = f"array(CAST(named_struct('t', {_TEXT}, 'c', 'L', 'id', CAST(NULL AS INT), 'st', NULL) AS {jsontext.ITEM}))"
@@ -107,9 +110,26 @@ def redact_json(df: DataFrame, column: str, options: Options, out: str = "redact
         out: f"CASE WHEN {_TEXT} IS NOT NULL THEN array_join(zip_with({_PARTS}, {_SCANNED}, (x, r) -> {put}), '') END",
     }
     keyed = pseudonym.with_key(df, options)
+    if direct.settles(options):
+        ship(df.sparkSession)
+        keyed = keyed.withColumn(_SETTLED, direct.redacted_json(options, F.col(f"`{column}`"), F.col(pseudonym.IPAD), F.col(pseudonym.OPAD)))
+        steps[_TEXT] = f"CASE WHEN {_SETTLED} IS NULL THEN {steps[_TEXT]} END"
+        steps[_ITEMS] = f"CASE WHEN {_TEXT} IS NOT NULL THEN {steps[_ITEMS]} END"
+        steps[out] = f"coalesce({_SETTLED}, {steps[out]})"
+    last = steps.pop(out)
     for name, expression in steps.items():
         keyed = keyed.withColumn(name, F.expr(expression))
-    return pseudonym.without_key(keyed).drop(_TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED)
+    # out of a generator, so that what reads it stays above and does not copy the expression
+    keyed = keyed.withColumn(out, F.explode(F.array(F.expr(last))))
+    return pseudonym.without_key(keyed).drop(_SETTLED, _TEXT, _ITEMS, _NAMED, _PARTS, _SCANNED)
+
+
+def with_parses(df: DataFrame, column: str, out: str = "parses") -> DataFrame:
+    """Add whether a text is a JSON object, that is, whether ``jsontext.items`` gives its tokens; false for null."""
+    ship(df.sparkSession)
+    text = f"`{column}`"
+    told = df.withColumn(_SETTLED, direct.object_told(F.expr(f"CASE WHEN {jsontext.opens(text)} THEN {text} END")))
+    return told.withColumn(out, F.expr(f"coalesce({_SETTLED}, {jsontext.items(text)} IS NOT NULL)")).drop(_SETTLED)
 
 
 def number_hidden(value: str, options: Options) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
-from .functions import jsontext, keys, pairs, pseudonym, scores, sqlfunctions, tokens
+from .functions import keys, pairs, pseudonym, scores, sqlfunctions, tokens
 from .operators import baseline, evaluate, jsonleaf, numbers, redaction, ruletable, state, urls, vocabulary
 from .options import Options, Rule
 from .sources import derived, folders, lines
@@ -638,7 +638,7 @@ def jsn1_steps(spark, sf):
 def jsn1_encoded(spark, sf):
     """All log lines: JSON objects redacted in place, other lines scanned as lines."""
     done = jsonleaf.redact_json(log_lines(spark, sf), "line", OPTIONS, "encoded")
-    return done.select("line_id", "encoded", F.expr(f"{jsontext.items('encoded')} IS NOT NULL").alias("parses"))
+    return jsonleaf.with_parses(done.select("line_id", "encoded"), "encoded")
 
 
 @query
